@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe_round_trip
 from .mixing import OP7_SQL, op7_mixing
+from .quality import op1_quality
+from .secrets import op9_secrets
 from .topk import OP6_SQL, op6_maxscore_topk
 from .urls import OP5_SQL, op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op5_url_filter, op6_maxscore_topk, op7_mixing, op10_bpe_round_trip)
+    for f in (op1_quality, op5_url_filter, op6_maxscore_topk, op7_mixing, op9_secrets, op10_bpe_round_trip)
 }
 
 ORACLE_SQL: dict[str, str] = {
