@@ -89,15 +89,16 @@ def measured(token: Column, span: Column) -> Column:
     middle = F.element_at(order, F.greatest(F.floor(F.size(order) / 2), F.lit(1)).cast("int"))
     walk = F.aggregate(
         codes,
-        F.struct(F.lit(-1).alias("last"), zero.alias("runs"), zero.alias("high"), zero.alias("s1"), zero.alias("s2"), zero.alias("lag"), F.lit(0).alias("first")),
+        F.struct(F.lit(-1).alias("last"), zero.alias("runs"), zero.alias("high"), zero.alias("s1"), zero.alias("s2"), zero.alias("lag"), F.lit(0).alias("first"), middle.alias("middle")),
         lambda a, c: F.struct(
             c.alias("last"),
-            (a["runs"] + F.when((a["last"] < 0) | ((c > middle) != (a["last"] > middle)), 1).otherwise(0)).alias("runs"),
-            (a["high"] + F.when(c > middle, 1).otherwise(0)).alias("high"),
+            (a["runs"] + F.when((a["last"] < 0) | ((c > a["middle"]) != (a["last"] > a["middle"])), 1).otherwise(0)).alias("runs"),
+            (a["high"] + F.when(c > a["middle"], 1).otherwise(0)).alias("high"),
             (a["s1"] + c).alias("s1"),
             (a["s2"] + c * c).alias("s2"),
             (a["lag"] + F.when(a["last"] < 0, 0).otherwise(c * a["last"])).alias("lag"),
             F.when(a["last"] < 0, c).otherwise(a["first"]).alias("first"),
+            a["middle"].alias("middle"),
         ),
     )
     return F.struct(
