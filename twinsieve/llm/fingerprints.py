@@ -121,8 +121,9 @@ def compared(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
     order = ordered(docs)
     size = F.floor(F.col("n_chars") / 3).cast("int")
-    givers = docs.withColumnsRenamed({"d": "next_d", "h": "next_h", "text": "next_text"})
-    heads = order.join(givers, ["next_d", "next_h"]).select("d", "h", "n_chars", "copies", "next_d", "next_h", F.substring("next_text", F.lit(1), size).alias("head"))
+    # The order is renamed, not the documents, so both joins use one shuffle of the texts.
+    receivers = order.select(F.col("next_d").alias("d"), F.col("next_h").alias("h"), F.col("d").alias("to_d"), F.col("h").alias("to_h"), "n_chars", "copies")
+    heads = docs.join(receivers, ["d", "h"]).select(F.col("to_d").alias("d"), F.col("to_h").alias("h"), "n_chars", "copies", F.col("d").alias("next_d"), F.col("h").alias("next_h"), F.substring("text", F.lit(1), size).alias("head"))
     # Rows that repeat give their head each; one is enough.
     heads = heads.groupBy("d", "h", "n_chars", "copies", "next_d", "next_h").agg(F.min("head").alias("head"))
     both = docs.join(heads, ["d", "h"]).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - size), "head"))
