@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,5 +38,14 @@ def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body uses it.
+
+    The optimizer may put a column's expression in place of the column, even within a lambda, where it would be
+    worked out for each element; it leaves the variable of a lambda alone.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def whole_row(df: DataFrame) -> Column:
     return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(ROW)

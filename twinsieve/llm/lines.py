@@ -3,16 +3,16 @@
 A text's lines are cut at line ends and, so that a passage within a long line is seen too, after the end of a
 sentence.  Each line is hashed (lower case, no blanks around).  Of every window of ``window`` consecutive hashes of
 ``gram`` lines the smallest is a fingerprint, so any repeated run of window + gram - 1 lines has one in common
-with its other place; a line of at least ``least_words`` words is always one.  Each fingerprint's places are
-joined to its first place in order of (doc_id, text hash, line), never to each other.  A match is extended both
-ways along the two texts while lines are equal.  Lines in extended runs of at least ``gram`` lines (or one such
-long line) are repeats; stretches of repeats of at least ``least_words`` words are deleted.  The first place of a
-fingerprint is never deleted on its account, so one copy of each passage stays.
+with its other place; a line of at least ``least_chars`` characters is always one.  Each fingerprint's places are
+joined to its first place in order of (doc_id, text hash, line), never to each other.  Matches along one shift of
+two texts are extended both ways while lines are equal: over all lines between the outermost matches and up to
+``REACH`` lines beyond, further than which another match would be due.  Runs of at least ``gram`` equal lines (or
+one long line) are repeats; stretches of repeats of at least ``least_chars`` characters are deleted.  The first
+place of a fingerprint is never deleted on its account, so one copy of each passage stays.
 
 Edge cases: a null text is the empty one; an empty text stays.  A null doc_id comes first.  Rows that repeat both
-doc_id and text are one document: they aren't deleted against each other and each gets the same result.  Blank
-lines count no words.  Texts without repeats are returned as they are, character by character.
-Other columns are kept and can't clash.
+doc_id and text are one document: they aren't deleted against each other and each gets the same result.  Texts
+without repeats are returned as they are, character by character.  Other columns are kept and can't clash.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, table, text_or_empty, whole_row
+from .common import ROW, cut, let, table, text_or_empty, whole_row
 
 CUTS = r"(?<=\n)|(?<=[.!?] )"
-GRAM, WINDOW, LEAST_WORDS = 2, 3, 25
+#: Stands for a blank after a sentence; texts that hold it themselves are cut by the slower pattern.
+MARK = "\u0001"
+GRAM, WINDOW, LEAST_CHARS, REACH = 3, 2, 150, 8
 NO_ID = -(1 << 63)
 
 
@@ -35,110 +37,117 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text_or_empty()).alias("h")]
 
 
+def _bare_lines(text: Column) -> Column:
+    """The same lines in lower case, without their ends, by plain replacement and a pattern without look-behind."""
+    marked = F.lower(text)
+    for end in ".!?":
+        marked = F.replace(marked, F.lit(f"{end} "), F.lit(end + MARK))
+    return F.when(F.instr(text, MARK) > 0, F.transform(lines_of(F.lower(text)), lambda x: F.rtrim(x, F.lit(" \n")))).otherwise(F.split(marked, f"[\n{MARK}]"))
+
+
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """d, h, hashes array<long>, words array<int>: a row for each distinct (doc_id, text)."""
-    rows = docs.select(*_key(docs), F.transform(lines_of(text_or_empty()), lambda x: F.trim(F.rtrim(x), F.lit(" \n\r\t"))).alias("lines"))
-    words = lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
-    rows = rows.select("d", "h", F.transform("lines", lambda x: F.xxhash64(F.lower(x))).alias("hashes"), F.transform("lines", words).alias("words"))
-    return rows.groupBy("d", "h").agg(F.any_value("hashes").alias("hashes"), F.any_value("words").alias("words"))
+    """d, h, hashes array<long>, sizes array<int> (characters): a row for each distinct (doc_id, text)."""
+    rows = docs.select(*_key(docs), _bare_lines(text_or_empty()).alias("lines"))
+    rows = cut(rows.select("d", "h", F.transform("lines", lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform("lines", lambda x: F.length(x)).alias("sizes")), "lines")
+    if rows.groupBy("d", "h").count().where("count > 1").isEmpty():
+        return rows
+    return cut(rows.groupBy("d", "h").agg(F.any_value("hashes").alias("hashes"), F.any_value("sizes").alias("sizes")), "lines")
 
 
-def winnowed(lines: DataFrame, gram: int, window: int, least_words: int) -> DataFrame:
+def winnowed(lines: DataFrame, gram: int, window: int, least_chars: int) -> DataFrame:
     """d, h, pos, f: the window minima, rightmost of equal ones, and the long lines."""
     n = F.greatest(F.size("hashes") - (gram - 1), F.lit(0))
     grams = F.slice(F.transform("hashes", lambda x, i: F.xxhash64(x, *(F.get("hashes", i + j) for j in range(1, gram)))), F.lit(1), n)
-    # A column of its own: an expression within a lambda would be worked out anew for each element.
-    rows = lines.select("d", "h", "hashes", "words", grams.alias("grams"), n.alias("n"))
-    starts = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
-    def least(i: Column) -> Column:
-        best, at = F.get("grams", i), i
+    def least(grams: Column, i: Column) -> Column:
+        best, at = F.get(grams, i), i
         for j in range(1, window):
-            other = F.get("grams", i + j)
+            other = F.get(grams, i + j)
             better = other.isNotNull() & (other <= best)
             best, at = F.when(better, other).otherwise(best), F.when(better, i + j).otherwise(at)
         return at
 
-    minima = F.transform(F.array_distinct(F.transform(starts, least)), lambda i: F.struct(i.alias("pos"), F.get("grams", i).alias("f")))
-    long = F.filter(F.transform("hashes", lambda x, i: F.when(F.get("words", i) >= least_words, F.struct(i.alias("pos"), F.xxhash64(x, F.lit("line")).alias("f")))), lambda x: x.isNotNull())
-    return rows.select("d", "h", F.explode(F.concat(minima, long)).alias("p")).select("d", "h", F.col("p.pos").alias("pos"), F.col("p.f").alias("f"))
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    minima = let(grams, lambda g: F.transform(F.array_distinct(F.transform(starts, lambda i: least(g, i))), lambda i: F.struct(i.alias("pos"), F.get(g, i).alias("f"))))
+    long = F.filter(F.transform("hashes", lambda x, i: F.when(F.get("sizes", i) >= least_chars, F.struct(i.alias("pos"), F.xxhash64(x, F.lit("line")).alias("f")))), lambda x: x.isNotNull())
+    return lines.select("d", "h", F.explode(F.concat(minima, long)).alias("p")).select("d", "h", F.col("p.pos").alias("pos"), F.col("p.f").alias("f"))
 
 
-def matches(lines: DataFrame, gram: int, window: int, least_words: int) -> DataFrame:
+def matches(lines: DataFrame, gram: int, window: int, least_chars: int) -> DataFrame:
     """d, h, d0, h0, shift: pairs of texts that share a fingerprint, each with the earlier place's line minus the later's."""
-    prints = winnowed(lines, gram, window, least_words)
+    prints = winnowed(lines, gram, window, least_chars)
     firsts = prints.groupBy("f").agg(F.min(F.struct("d", "h", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = prints.join(firsts, "f").where(F.struct("d", "h", "pos") > F.col("first"))
-    return pairs.select("d", "h", F.col("first.d").alias("d0"), F.col("first.h").alias("h0"), (F.col("first.pos") - F.col("pos")).alias("shift")).distinct()
+    pairs = pairs.select("d", "h", F.col("first.d").alias("d0"), F.col("first.h").alias("h0"), (F.col("first.pos") - F.col("pos")).alias("shift"), "pos")
+    return pairs.groupBy("d", "h", "d0", "h0", "shift").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
 
 
-RUNS = "array<struct<a:int,pa:int,b:int,pb:int>>"
+SPANS = "array<struct<a:int,b:int>>"
 
 
-def _runs(gram: int, least_words: int) -> Column:
-    """The runs of lines that are equal in both texts along the shift: first and last line, words before and up to their end."""
-    marked = F.transform("hashes", lambda x, i: F.struct(F.get("words", i).alias("w"), F.coalesce(x == F.get("hashes0", i + F.col("shift")), F.lit(False)).alias("same")))
-    marked = F.concat(marked, F.array(F.struct(F.lit(0).alias("w"), F.lit(False).alias("same"))))
+def _runs(gram: int, least_chars: int) -> Column:
+    """First and last line of the runs that are equal in both texts along the shift, around the matches."""
+    start = F.greatest(F.col("low") - REACH, F.lit(0))
+    lines = F.slice("hashes", start + 1, F.col("high") + gram + REACH - start)
+    marked = F.transform(lines, lambda x, i: F.struct((start + i).alias("i"), F.coalesce(x == F.get("hashes0", start + i + F.col("shift")), F.lit(False)).alias("same")))
+    marked = F.concat(marked, F.array(F.struct((start + F.size(lines)).alias("i"), F.lit(False).alias("same"))))
 
     def step(s: Column, x: Column) -> Column:
         ends = ~x["same"] & (s["a"] >= 0)
-        ends = ends & ((s["i"] - s["a"] >= gram) | (s["p"] - s["pa"] >= least_words))
-        run = F.array(F.struct(s["a"].alias("a"), s["pa"].alias("pa"), (s["i"] - 1).alias("b"), s["p"].alias("pb")))
-        begins = x["same"] & (s["a"] < 0)
+        ends = ends & ((x["i"] - s["a"] >= gram) | s["long"])
         return F.struct(
-            (s["i"] + 1).alias("i"),
-            (s["p"] + x["w"]).alias("p"),
-            F.when(begins, s["i"]).when(x["same"], s["a"]).otherwise(-1).alias("a"),
-            F.when(begins, s["p"]).otherwise(s["pa"]).alias("pa"),
-            F.when(ends, F.concat(s["out"], run)).otherwise(s["out"]).alias("out"),
+            F.when(x["same"] & (s["a"] < 0), x["i"]).when(x["same"], s["a"]).otherwise(-1).alias("a"),
+            (x["same"] & (s["long"] | (F.get("sizes", x["i"]) >= least_chars))).alias("long"),
+            F.when(ends, F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), (x["i"] - 1).alias("b"))))).otherwise(s["out"]).alias("out"),
         )
 
-    return F.aggregate(marked, F.struct(F.lit(0).alias("i"), F.lit(0).alias("p"), F.lit(-1).alias("a"), F.lit(0).alias("pa"), F.array().cast(RUNS).alias("out")), step, lambda s: s["out"])
+    return F.aggregate(marked, F.struct(F.lit(-1).alias("a"), F.lit(False).alias("long"), F.array().cast(SPANS).alias("out")), step, lambda s: s["out"])
 
 
-def _stretches(least_words: int) -> Column:
-    """array<struct<a, b>>: what sorted ``runs`` cover, in stretches of consecutive lines with enough words."""
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    closed = lambda s: F.when(s["pb"] - s["pa"] >= least_words, F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))).otherwise(s["out"])
+def _merged() -> Column:
+    """What sorted ``runs`` cover, in stretches of consecutive lines."""
+    done = lambda s: F.when(s["a"] >= 0, F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))).otherwise(s["out"])
 
     def step(s: Column, x: Column) -> Column:
-        joins, further = x["a"] <= s["b"] + 1, x["b"] > s["b"]
+        joins = (s["a"] >= 0) & (x["a"] <= s["b"] + 1)
         return F.struct(
             F.when(joins, s["a"]).otherwise(x["a"]).alias("a"),
-            F.when(joins, s["pa"]).otherwise(x["pa"]).alias("pa"),
-            F.when(joins & ~further, s["b"]).otherwise(x["b"]).alias("b"),
-            F.when(joins & ~further, s["pb"]).otherwise(x["pb"]).alias("pb"),
-            F.when(joins, s["out"]).otherwise(closed(s)).alias("out"),
+            F.when(joins, F.greatest(s["b"], x["b"])).otherwise(x["b"]).alias("b"),
+            F.when(joins, s["out"]).otherwise(done(s)).alias("out"),
         )
 
-    return F.aggregate("runs", F.struct(F.lit(-9).alias("a"), F.lit(0).alias("pa"), F.lit(-9).alias("b"), F.lit(0).alias("pb"), none.alias("out")), step, closed)
+    return F.aggregate("runs", F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.array().cast(SPANS).alias("out")), step, done)
 
 
-def deletions(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """d, h, gone array<struct<a, b>>: the lines (first and last of each stretch) that are later repeats."""
-    lines = cut(hashed_lines(docs), "lines")
-    pairs = matches(lines, gram, window, least_words)
+def repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """d, h, spans array<struct<a, b>>: first and last line of each stretch of lines that are later repeats, of any length."""
+    lines = hashed_lines(docs)
+    pairs = matches(lines, gram, window, least_chars)
     pairs = pairs.join(lines.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("hashes").alias("hashes0")), ["d0", "h0"])
-    pairs = pairs.join(lines, ["d", "h"]).select("d", "h", _runs(gram, least_words).alias("found")).where(F.size("found") > 0)
-    whole = pairs.groupBy("d", "h").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("runs"))
-    return whole.select("d", "h", _stretches(least_words).alias("gone")).where(F.size("gone") > 0)
+    pairs = pairs.join(lines, ["d", "h"]).select("d", "h", _runs(gram, least_chars).alias("found"))
+    whole = pairs.groupBy("d", "h").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("runs")).where(F.size("runs") > 0)
+    return whole.select("d", "h", _merged().alias("spans"))
 
 
-def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Each row of ``docs`` (as a struct), n_lines, gone, and the text that is left."""
-    gone = deletions(docs, gram, window, least_words)
-    rows = docs.select(whole_row(docs), *_key(docs), docs["text"].cast("string").alias("text")).join(gone, ["d", "h"], "left")
-    kept = F.filter(lines_of(F.col("text")), lambda x, i: ~F.exists("gone", lambda g: (g["a"] <= i) & (i <= g["b"])))
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return rows.select(ROW, F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.size(lines_of(F.col("text")))).alias("n_lines"), "gone", left.alias("left"))
+def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Each row of ``docs`` (as a struct), ``gone`` (the deleted stretches, null without any), and the text that is left."""
+    found = repeats(docs, gram, window, least_chars)
+    rows = docs.select(whole_row(docs), *_key(docs), docs["text"].cast("string").alias("text")).join(found, ["d", "h"], "left")
+    size = lambda lines, g: F.aggregate(F.slice(lines, g["a"] + 1, g["b"] - g["a"] + 1), F.lit(0), lambda n, x: n + F.length(x))
+    kept = lambda lines, gone: F.filter(lines, lambda x, i: ~F.exists(gone, lambda g: (g["a"] <= i) & (i <= g["b"])))
+    edited = lambda lines: let(F.filter("spans", lambda g: size(lines, g) >= least_chars), lambda gone: F.when(F.size(gone) > 0, F.struct(gone.alias("gone"), F.array_join(kept(lines, gone), "").alias("left"))))
+    rows = rows.select(ROW, "text", F.when(F.col("spans").isNotNull(), let(lines_of(F.col("text")), edited)).alias("edited"))
+    return rows.select(ROW, F.col("edited.gone").alias("gone"), F.when(F.col("edited").isNull(), F.col("text")).otherwise(F.col("edited.left")).alias("left"))
 
 
 def without_repeats(docs: DataFrame, **how: int) -> DataFrame:
     """``docs`` with later repeats deleted from text (and n_chars to match); documents that are nothing but repeats go."""
     rows = dedup(docs, **how)
     changed = F.col("gone").isNotNull()
-    values = {"text": F.col("left"), "n_chars": F.when(changed, F.length("left").cast("long")).otherwise(F.col(f"{ROW}.n_chars")) if "n_chars" in docs.columns else None}
-    out = [(values[c] if values.get(c) is not None else F.col(f"{ROW}.`{c}`")).alias(c) for c in docs.columns]
+    values = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(changed, F.length("left").cast("long")).otherwise(F.col(f"{ROW}.n_chars"))
+    out = [values.get(c, F.col(f"{ROW}.`{c}`")).alias(c) for c in docs.columns]
     return rows.where(~changed | (F.trim("left") != "")).select(*out)
 
 
@@ -146,4 +155,4 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup(table(spark, sf_dir, "documents"))
     spans = F.coalesce(F.array_join(F.transform("gone", lambda g: F.concat_ws(":", g["a"].cast("string"), (g["b"] + 1).cast("string"))), ","), F.lit(""))
     deleted = F.coalesce(F.aggregate("gone", F.lit(0), lambda s, g: s + g["b"] - g["a"] + 1), F.lit(0))
-    return rows.select(F.col(f"{ROW}.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), deleted.cast("long").alias("n_deleted"), spans.alias("deleted_lines"), F.length("left").cast("long").alias("n_chars_left"), F.sha2(F.col("left").cast("binary"), 256).alias("text_sha256"))
+    return rows.select(F.col(f"{ROW}.doc_id").alias("doc_id"), deleted.cast("long").alias("n_deleted"), spans.alias("deleted_lines"), F.length("left").cast("long").alias("n_chars_left"), F.sha2(F.col("left").cast("binary"), 256).alias("text_sha256"))
