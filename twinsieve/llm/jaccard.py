@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import ROW, cut, table, text_or_empty, whole_row
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -287,13 +287,15 @@ def pairs(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, chu
 
 
 def one_of_each(docs: DataFrame, **how: float) -> DataFrame:
-    """One document of each group, the one of the smallest doc_id, columns unchanged; rows without a doc_id stay."""
-    ids = join(docs, **how).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.withColumn("__h", F.xxhash64(text_or_empty())).where(F.col("doc_id").isNotNull())
-    rows = rows.join(ids, F.col("doc_id").cast("long") == F.col("__id"))
-    first = Window.partitionBy("__id").orderBy("__h")
-    rows = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__id", "__h", "__n")
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group, the one of the smallest doc_id, columns unchanged; rows without a doc_id stay.
+
+    Of rows that share that doc_id the one with the smallest hash of its text stays.
+    """
+    ids = join(docs, **how).where("doc_id = class_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("h"))
+    first = Window.partitionBy("id").orderBy("h")
+    kept = rows.where("id is not null").join(ids, "id").withColumn("n", F.row_number().over(first)).where("n = 1")
+    return kept.select(f"{ROW}.*").unionByName(rows.where("id is null").select(f"{ROW}.*"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

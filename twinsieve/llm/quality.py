@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -188,34 +188,41 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return train([r[2] for r in rows], [r[1] for r in rows])
 
 
+def _scores(folded: np.ndarray | None, constant: float) -> Callable[[Sequence[str]], list[float]]:
+    """What scores texts on an executor."""
+    gc.freeze()
+    return (lambda texts: [constant] * len(texts)) if folded is None else Scorer(folded).scores
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
-    return _scored(rows, model, threshold, ["doc_id", "held_out"])
-
-
-def _scored(rows: DataFrame, model: Model, threshold: float, keep: list[str]) -> DataFrame:
-    """``keep`` of ``rows``, score, predicted; rows have a column text."""
     shared = rows.sparkSession.sparkContext.broadcast((model.folded(), model.constant))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep) + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folded, constant = shared.value
-        scorer = None if folded is None else Scorer(folded)
-        gc.freeze()
+        scores = _scores(*shared.value)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
-                found = [constant] * len(part) if scorer is None else scorer.scores(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], [*keep, "score", "predicted"])
+                found = scores(part.column("text").to_pylist())
+                columns = [part.column("doc_id"), part.column("held_out"), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, columns unchanged."""
-    model = fit(docs, labels)
-    rows = docs.select(whole_row(docs), text_or_empty().alias("text"))
-    return _scored(rows, model, threshold, [ROW]).where("predicted = 1").select(f"{ROW}.*")
+    rows, model = docs.select(whole_row(docs)), fit(docs, labels)
+    shared = rows.sparkSession.sparkContext.broadcast((model.folded(), model.constant))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scores(*shared.value)
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
+                texts = part.column(ROW).field("text").to_pylist()
+                yield part.filter(pa.array([x >= threshold for x in scores([t or "" for t in texts])], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).select(f"{ROW}.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
