@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/twinsieve/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/twinsieve/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,5 +47,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def whole_row(df: DataFrame) -> Column:
-    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(ROW)
+def whole_row(df: DataFrame, but: Sequence[str] = ()) -> Column:
+    """The row's columns (but some) as one struct."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns if c not in but]).alias(ROW)

@@ -33,8 +33,13 @@ def lines_of(text: Column) -> Column:
     return F.split(text, CUTS)
 
 
-def _key(docs: DataFrame) -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text_or_empty()).alias("h")]
+def _key(docs: DataFrame, unique: bool) -> list[Column]:
+    """d, h: what tells documents apart; h is the text's hash, or 0 where doc_id does it alone (fewer bytes to move)."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), (F.lit(0).cast("long") if unique else F.xxhash64(text_or_empty())).alias("h")]
+
+
+def unique_ids(docs: DataFrame) -> bool:
+    return docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).count().where("count > 1").isEmpty()
 
 
 def _bare_lines(text: Column) -> Column:
@@ -45,16 +50,14 @@ def _bare_lines(text: Column) -> Column:
     return F.when(F.instr(text, MARK) > 0, F.transform(lines_of(F.lower(text)), lambda x: F.rtrim(x, F.lit(" \n")))).otherwise(F.split(marked, f"[\n{MARK}]"))
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """d, h, hashes array<long>, sizes array<int> (characters): a row for each distinct (doc_id, text)."""
-    rows = docs.select(*_key(docs), _bare_lines(text_or_empty()).alias("lines"))
-    rows = cut(rows.select("d", "h", F.transform("lines", lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform("lines", lambda x: F.length(x)).alias("sizes")), "lines")
-    if rows.groupBy("d", "h").count().where("count > 1").isEmpty():
-        return rows
-    return cut(rows.groupBy("d", "h").agg(F.any_value("hashes").alias("hashes"), F.any_value("sizes").alias("sizes")), "lines")
+def hashed_lines(docs: DataFrame, unique: bool, least_chars: int) -> DataFrame:
+    """d, h, hashes array<long>, long array<boolean> (lines of enough characters): a row for each distinct (doc_id, text)."""
+    rows = docs.select(*_key(docs, unique), _bare_lines(text_or_empty()).alias("lines"))
+    rows = rows.select("d", "h", F.transform("lines", lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform("lines", lambda x: F.length(x) >= least_chars).alias("long"))
+    return cut(rows if unique else rows.groupBy("d", "h").agg(F.any_value("hashes").alias("hashes"), F.any_value("long").alias("long")), "lines")
 
 
-def winnowed(lines: DataFrame, gram: int, window: int, least_chars: int) -> DataFrame:
+def winnowed(lines: DataFrame, gram: int, window: int) -> DataFrame:
     """d, h, pos, f: the window minima, rightmost of equal ones, and the long lines."""
     n = F.greatest(F.size("hashes") - (gram - 1), F.lit(0))
     grams = F.slice(F.transform("hashes", lambda x, i: F.xxhash64(x, *(F.get("hashes", i + j) for j in range(1, gram)))), F.lit(1), n)
@@ -69,15 +72,16 @@ def winnowed(lines: DataFrame, gram: int, window: int, least_chars: int) -> Data
 
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     minima = let(grams, lambda g: F.transform(F.array_distinct(F.transform(starts, lambda i: least(g, i))), lambda i: F.struct(i.alias("pos"), F.get(g, i).alias("f"))))
-    long = F.filter(F.transform("hashes", lambda x, i: F.when(F.get("sizes", i) >= least_chars, F.struct(i.alias("pos"), F.xxhash64(x, F.lit("line")).alias("f")))), lambda x: x.isNotNull())
+    long = F.filter(F.transform("hashes", lambda x, i: F.when(F.get("long", i), F.struct(i.alias("pos"), F.xxhash64(x, F.lit("line")).alias("f")))), lambda x: x.isNotNull())
     return lines.select("d", "h", F.explode(F.concat(minima, long)).alias("p")).select("d", "h", F.col("p.pos").alias("pos"), F.col("p.f").alias("f"))
 
 
-def matches(lines: DataFrame, gram: int, window: int, least_chars: int) -> DataFrame:
+def matches(lines: DataFrame, gram: int, window: int) -> DataFrame:
     """d, h, d0, h0, shift: pairs of texts that share a fingerprint, each with the earlier place's line minus the later's."""
-    prints = winnowed(lines, gram, window, least_chars)
+    prints = winnowed(lines, gram, window)
     firsts = prints.groupBy("f").agg(F.min(F.struct("d", "h", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = prints.join(firsts, "f").where(F.struct("d", "h", "pos") > F.col("first"))
+    # Written, so the join reads two plain shuffles and the places of a very common fingerprint can be split.
+    pairs = prints.join(cut(firsts, "firsts"), "f").where(F.struct("d", "h", "pos") > F.col("first"))
     pairs = pairs.select("d", "h", F.col("first.d").alias("d0"), F.col("first.h").alias("h0"), (F.col("first.pos") - F.col("pos")).alias("shift"), "pos")
     return pairs.groupBy("d", "h", "d0", "h0", "shift").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
 
@@ -85,11 +89,23 @@ def matches(lines: DataFrame, gram: int, window: int, least_chars: int) -> DataF
 SPANS = "array<struct<a:int,b:int>>"
 
 
-def _runs(gram: int, least_chars: int) -> Column:
+def _start() -> Column:
+    """The first line that is looked at of a document around its matches."""
+    return F.greatest(F.col("low") - REACH, F.lit(0))
+
+
+def _earlier(gram: int) -> Column:
+    """The lines of the earlier text that lie across from those; lines before its start are null."""
+    first, n = _start() + F.col("shift"), F.col("high") + gram + REACH - _start()
+    before = F.greatest(-first, F.lit(0))
+    return F.concat(F.array_repeat(F.lit(None).cast("long"), before), F.slice("hashes", F.greatest(first, F.lit(0)) + 1, F.greatest(n - before, F.lit(0))))
+
+
+def _runs(gram: int) -> Column:
     """First and last line of the runs that are equal in both texts along the shift, around the matches."""
-    start = F.greatest(F.col("low") - REACH, F.lit(0))
+    start = _start()
     lines = F.slice("hashes", start + 1, F.col("high") + gram + REACH - start)
-    marked = F.transform(lines, lambda x, i: F.struct((start + i).alias("i"), F.coalesce(x == F.get("hashes0", start + i + F.col("shift")), F.lit(False)).alias("same")))
+    marked = F.transform(lines, lambda x, i: F.struct((start + i).alias("i"), F.coalesce(x == F.get("across", i), F.lit(False)).alias("same")))
     marked = F.concat(marked, F.array(F.struct((start + F.size(lines)).alias("i"), F.lit(False).alias("same"))))
 
     def step(s: Column, x: Column) -> Column:
@@ -97,7 +113,7 @@ def _runs(gram: int, least_chars: int) -> Column:
         ends = ends & ((x["i"] - s["a"] >= gram) | s["long"])
         return F.struct(
             F.when(x["same"] & (s["a"] < 0), x["i"]).when(x["same"], s["a"]).otherwise(-1).alias("a"),
-            (x["same"] & (s["long"] | (F.get("sizes", x["i"]) >= least_chars))).alias("long"),
+            (x["same"] & (s["long"] | F.get("long", x["i"]))).alias("long"),
             F.when(ends, F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), (x["i"] - 1).alias("b"))))).otherwise(s["out"]).alias("out"),
         )
 
@@ -119,20 +135,22 @@ def _merged() -> Column:
     return F.aggregate("runs", F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.array().cast(SPANS).alias("out")), step, done)
 
 
-def repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeats(docs: DataFrame, unique: bool, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
     """d, h, spans array<struct<a, b>>: first and last line of each stretch of lines that are later repeats, of any length."""
-    lines = hashed_lines(docs)
-    pairs = matches(lines, gram, window, least_chars)
-    pairs = pairs.join(lines.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("hashes").alias("hashes0")), ["d0", "h0"])
-    pairs = pairs.join(lines, ["d", "h"]).select("d", "h", _runs(gram, least_chars).alias("found"))
+    lines = hashed_lines(docs, unique, least_chars)
+    pairs = matches(lines, gram, window)
+    earlier = lines.select(F.col("d").alias("d0"), F.col("h").alias("h0"), "hashes")
+    pairs = pairs.join(earlier, ["d0", "h0"]).select("d", "h", "low", "high", _earlier(gram).alias("across"))
+    pairs = pairs.join(lines, ["d", "h"]).select("d", "h", _runs(gram).alias("found"))
     whole = pairs.groupBy("d", "h").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("runs")).where(F.size("runs") > 0)
     return whole.select("d", "h", _merged().alias("spans"))
 
 
 def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Each row of ``docs`` (as a struct), ``gone`` (the deleted stretches, null without any), and the text that is left."""
-    found = repeats(docs, gram, window, least_chars)
-    rows = docs.select(whole_row(docs), *_key(docs), docs["text"].cast("string").alias("text")).join(found, ["d", "h"], "left")
+    """Each row of ``docs`` (a struct of all but text), ``gone`` (the deleted stretches, null without any), and the text that is left."""
+    unique = unique_ids(docs)
+    found = repeats(docs, unique, gram, window, least_chars)
+    rows = docs.select(whole_row(docs, but=["text"]), *_key(docs, unique), docs["text"].cast("string").alias("text")).join(found, ["d", "h"], "left")
     size = lambda lines, g: F.aggregate(F.slice(lines, g["a"] + 1, g["b"] - g["a"] + 1), F.lit(0), lambda n, x: n + F.length(x))
     kept = lambda lines, gone: F.filter(lines, lambda x, i: ~F.exists(gone, lambda g: (g["a"] <= i) & (i <= g["b"])))
     edited = lambda lines: let(F.filter("spans", lambda g: size(lines, g) >= least_chars), lambda gone: F.when(F.size(gone) > 0, F.struct(gone.alias("gone"), F.array_join(kept(lines, gone), "").alias("left"))))
@@ -147,7 +165,7 @@ def without_repeats(docs: DataFrame, **how: int) -> DataFrame:
     values = {"text": F.col("left")}
     if "n_chars" in docs.columns:
         values["n_chars"] = F.when(changed, F.length("left").cast("long")).otherwise(F.col(f"{ROW}.n_chars"))
-    out = [values.get(c, F.col(f"{ROW}.`{c}`")).alias(c) for c in docs.columns]
+    out = [(values[c] if c in values else F.col(f"{ROW}.`{c}`")).alias(c) for c in docs.columns]
     return rows.where(~changed | (F.trim("left") != "")).select(*out)
 
 
