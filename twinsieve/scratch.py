@@ -17,8 +17,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/twinsieve/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written there; frames that read it can't be used any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/twinsieve/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
