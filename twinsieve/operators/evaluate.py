@@ -70,14 +70,12 @@ def progress_curve(found: DataFrame, gold: DataFrame, interval: int, include_tai
 
 
 def integral_quality(curve: DataFrame, gold_size: int, horizon: int) -> DataFrame:
-    """quality: area under the step curve up to the horizon, over gold_size * horizon (one row, 32-bit steps not kept)."""
+    """quality: area under the step curve up to the horizon, over gold_size * horizon (one row, in double precision)."""
     along = Window.orderBy("t")
     rows = curve.where(F.col("t") <= horizon)
-    steps = rows.select((F.col("t") - F.lag("t", 1, 0).over(along)).alias("width"), F.lag("cum_tp", 1, 0).over(along).alias("height"))
-    area = steps.agg(F.coalesce(F.sum(F.col("width") * F.col("height")), F.lit(0)).alias("area"))
-    last = rows.agg(F.coalesce(F.max("t"), F.lit(0)).alias("t"), F.coalesce(F.max_by("cum_tp", "t"), F.lit(0)).alias("c"))
-    both = area.join(F.broadcast(last), how="cross")  # one row each
-    return both.select(((F.col("area") + (horizon - F.col("t")) * F.col("c")) / (float(gold_size) * horizon)).alias("quality"))
+    # Each point's count holds until the next point, the last one's until the horizon.
+    steps = rows.select(((F.coalesce(F.lead("t").over(along), F.lit(horizon)) - F.col("t")) * F.col("cum_tp")).alias("area"))
+    return steps.agg((F.coalesce(F.sum("area"), F.lit(0)) / (float(gold_size) * horizon)).alias("quality"))
 
 
 def threshold_sweep(scored: DataFrame, gold: DataFrame, thresholds: Iterable[float]) -> DataFrame:

@@ -108,7 +108,7 @@ def dependents(fds: DataFrame) -> DataFrame:
 def weight_table(fds: DataFrame, uccs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """index, attribute, weight, as rows: counts of both kinds over their sum."""
     both = occurrences(fds, "lhs").unionByName(occurrences(uccs, "cols")).groupBy("attribute").agg(F.sum("n").alias("n"))
-    total = both.agg(F.sum("n").alias("total"))
+    total = both.agg(F.sum("n")).first()[0] or 1
     names = fds.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "index int, attribute string")
-    out = names.join(both, "attribute", "left").join(F.broadcast(total), how="cross")
-    return out.select("index", "attribute", F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)).alias("weight")).orderBy(F.desc("weight"), "index")
+    out = names.join(both, "attribute", "left")
+    return out.select("index", "attribute", F.coalesce(F.col("n") / total, F.lit(0.0)).alias("weight")).orderBy(F.desc("weight"), "index")
