@@ -159,6 +159,12 @@ def test_gold_and_round_trip(spark, tmp_path):
     assert {(r.id, r.v) for r in D.read_relation(spark, str(tmp_path / "out")).collect()} == {("1", "ä"), ("2", "b")}
 
 
+def test_relation_in_any_order(spark):
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate("hdbeagfc" * 5)], "v string, i int").repartition(5)
+    got = D.as_relation(rows, ["v", "i"]).orderBy("_rid").collect()
+    assert [(r.v, int(r.i)) for r in got] == sorted((v, i) for i, v in enumerate("hdbeagfc" * 5))
+
+
 def test_metrics_curve_and_sinks(spark, tmp_path):
     found = spark.createDataFrame([("a", "b", 3), ("b", "a", 9), ("c", "d", 12), ("e", "f", 1), ("g", "h", 31)], "id1 string, id2 string, progress_rank long")
     gold = spark.createDataFrame([("b", "a"), ("c", "d"), ("g", "h"), ("y", "z")], "id1 string, id2 string")

@@ -14,11 +14,19 @@ Similarity = Callable[[Column, Column], Column]
 NAN = float("nan")
 
 
-def lev_sim(a: Column, b: Column, longest: int = 200) -> Column:
-    """1 - distance / longer length, both cut to ``longest``; NaN if both are empty, null if one is null."""
+def lev_sim(a: Column, b: Column, longest: int = 200, most: int | None = None) -> Column:
+    """1 - distance / longer length, both cut to ``longest``; NaN if both are empty, null if one is null.
+
+    With ``most`` the distance is worked out only up to that; a larger one counts as similarity 0.
+    """
     a, b = F.substring(a, 1, longest), F.substring(b, 1, longest)
     size = F.greatest(F.length(a), F.length(b))
-    return F.when(size == 0, F.lit(NAN)).otherwise(1 - F.levenshtein(a, b) / F.greatest(size, F.lit(1)))
+    if most is None:
+        sim = 1 - F.levenshtein(a, b) / F.greatest(size, F.lit(1))
+    else:
+        distance = F.levenshtein(a, b, most)
+        sim = F.when(distance < 0, F.lit(0.0)).otherwise(1 - distance / F.greatest(size, F.lit(1)))
+    return F.when(size == 0, F.lit(NAN)).otherwise(sim)
 
 
 def lev_bound(a: Column, b: Column, longest: int = 200) -> Column:

@@ -5,19 +5,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def band_pairs(placed: DataFrame, window: int) -> DataFrame:
-    """k, rid1, rid2, distance, pos (of the first): pairs at most window - 1 places apart."""
-    d = window - 1
-    if d < 1:
-        return distance_pairs(placed, 1).limit(0)
-    a = placed.select("k", F.col("rid").alias("rid1"), F.col("pos").alias("p1"), F.expr(f"pos div {d}").alias("bucket"))
-    b = placed.select("k", F.col("rid").alias("rid2"), F.col("pos").alias("p2"), F.explode(F.array(F.expr(f"pos div {d}"), F.expr(f"pos div {d} - 1"))).alias("bucket"))
-    pairs = a.join(b, ["k", "bucket"]).where((F.col("p2") - F.col("p1")).between(1, d))
-    return pairs.select("k", "rid1", "rid2", (F.col("p2") - F.col("p1")).alias("distance"), F.col("p1").alias("pos"))
+def _side(carry: Sequence[str], end: int) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{end}") for c in carry]
+
+
+def _both(carry: Sequence[str]) -> list[str]:
+    return [f"{c}_{end}" for end in (1, 2) for c in carry]
+
+
+def band_pairs(placed: DataFrame, window: int, carry: Sequence[str] = ()) -> DataFrame:
+    """k, rid1, rid2, distance, pos (of the first): pairs at most window - 1 places apart.
+
+    Columns to ``carry`` come along as ``<name>_1`` and ``<name>_2``.
+    """
+    d = max(window - 1, 1)
+    a = placed.select("k", F.col("rid").alias("rid1"), F.col("pos").alias("p1"), F.expr(f"pos div {d}").alias("bucket"), *_side(carry, 1))
+    b = placed.select("k", F.col("rid").alias("rid2"), F.col("pos").alias("p2"), F.explode(F.array(F.expr(f"pos div {d}"), F.expr(f"pos div {d} - 1"))).alias("bucket"), *_side(carry, 2))
+    pairs = a.join(b, ["k", "bucket"]).where((F.col("p2") - F.col("p1")).between(1, window - 1))
+    return pairs.select("k", "rid1", "rid2", (F.col("p2") - F.col("p1")).alias("distance"), F.col("p1").alias("pos"), *_both(carry))
 
 
 def distance_pairs(placed: DataFrame, distance: int) -> DataFrame:
@@ -32,14 +43,14 @@ def prepass_pairs(placed: DataFrame, interval: int) -> DataFrame:
     return band_pairs(placed, interval + 1)
 
 
-def block_pairs(placed: DataFrame, block_size: int, block_range: int) -> DataFrame:
-    """Pairs of the same block or of blocks at most ``block_range`` apart; distance in blocks."""
+def block_pairs(placed: DataFrame, block_size: int, block_range: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Pairs of the same block or of blocks at most ``block_range`` apart; distance in blocks; ``carry`` as above."""
     rows = placed.withColumn("block", F.expr(f"pos div {block_size}"))
-    a = rows.select("k", F.col("rid").alias("rid1"), F.col("pos").alias("p1"), "block")
+    a = rows.select("k", F.col("rid").alias("rid1"), F.col("pos").alias("p1"), "block", *_side(carry, 1))
     near = F.sequence(F.greatest(F.col("block") - block_range, F.lit(0).cast("long")), F.col("block"))
-    b = rows.select("k", F.col("rid").alias("rid2"), F.col("pos").alias("p2"), F.col("block").alias("own"), F.explode(near).alias("block"))
+    b = rows.select("k", F.col("rid").alias("rid2"), F.col("pos").alias("p2"), F.col("block").alias("own"), F.explode(near).alias("block"), *_side(carry, 2))
     pairs = a.join(b, ["k", "block"]).where("p1 < p2")
-    return pairs.select("k", "rid1", "rid2", (F.col("own") - F.col("block")).alias("distance"), F.col("p1").alias("pos"))
+    return pairs.select("k", "rid1", "rid2", (F.col("own") - F.col("block")).alias("distance"), F.col("p1").alias("pos"), *_both(carry))
 
 
 def within_blocks(placed: DataFrame, block_size: int) -> DataFrame:

@@ -31,40 +31,70 @@ def _named(relation: DataFrame, which: int | str) -> str:
     return which if isinstance(which, str) else attributes(relation)[which]
 
 
+def _generated(placed: DataFrame, n: int, keys: int, cfg: DetectConfig, concurrent: bool, carry: Sequence[str] = ()) -> DataFrame:
+    """Pairs of each key with their rank, repeats across keys included."""
+    if cfg.algorithm == "PSNM":
+        return C.band_pairs(placed, cfg.window_size, carry).withColumn("rank", C.window_rank(n, keys, cfg.window_size, concurrent))
+    if cfg.algorithm == "PB":
+        return C.block_pairs(placed, cfg.block_size, cfg.max_block_range, carry).withColumn("rank", C.block_rank(n, keys, cfg.block_size, cfg.max_block_range, concurrent))
+    return C.band_pairs(placed, 1, carry).withColumn("rank", F.lit(0).cast("long"))
+
+
 def candidate_pairs(relation: DataFrame, keys: Sequence[Column], cfg: DetectConfig, concurrent: bool = False) -> DataFrame:
     """rid1, rid2, rank: the distinct candidate pairs of all keys, each at its first comparison."""
-    n = relation.count()
     placed = cut(positions(keyed(relation, keys)), "positions")
-    if cfg.algorithm == "PSNM":
-        pairs = C.band_pairs(placed, cfg.window_size).withColumn("rank", C.window_rank(n, len(keys), cfg.window_size, concurrent))
-    elif cfg.algorithm == "PB":
-        pairs = C.block_pairs(placed, cfg.block_size, cfg.max_block_range).withColumn("rank", C.block_rank(n, len(keys), cfg.block_size, cfg.max_block_range, concurrent))
-    else:
-        pairs = C.band_pairs(placed, 1).withColumn("rank", F.lit(0).cast("long"))
-    return C.distinct_pairs(pairs)
-
-
-def score(relation: DataFrame, pairs: DataFrame, chosen: Sequence[AttributeWeight], cfg: DetectConfig, weighted: bool, similarity: Similarity = lev_sim) -> DataFrame:
-    """``pairs`` with sim.  Where lengths alone put a pair below the threshold, sim is that bound (Levenshtein only)."""
-    names = [a.attribute for a in chosen]
-    source = _named(relation, cfg.two_in_one) if cfg.two_in_one is not None else None
-    kept = list(dict.fromkeys([*names, *([source] if source else [])]))
-    side = lambda end: relation.select(F.col(RID).alias(f"rid{end}"), *(F.col(quoted(c)).alias(f"v{i}_{end}") for i, c in enumerate(kept)))
-    rows = pairs.join(side(1), "rid1").join(side(2), "rid2")
-    value = lambda c, end: F.col(f"v{kept.index(c)}_{end}")
-    if source:
-        rows = rows.where(~value(source, 1).eqNullSafe(value(source, 2)))
-    weights = [a.weight for a in chosen] if weighted else None
-    both = [(value(c, 1), value(c, 2)) for c in names]
-    if similarity is lev_sim:
-        longest = cfg.max_value_length
-        sim = record_sim(both, weights, lambda a, b: lev_sim(a, b, longest))
-        bound = record_sim(both, weights, lambda a, b: lev_bound(a, b, longest))
-        # Cheap to work out; the distance is worked out only where it can matter.
-        sim = F.when(F.isnan(bound), F.lit(float("nan"))).when(bound < cfg.similarity_threshold - 1e-9, bound).otherwise(sim)
-    else:
-        sim = record_sim(both, weights, similarity)
-    return rows.select("rid1", "rid2", "rank", sim.alias("sim"))
+    return C.distinct_pairs(_generated(placed, relation.count(), len(keys), cfg, concurrent))
+
+
+class Scoring:
+    """What pairs are compared by: the columns that a record brings along, and the similarity of two such records."""
+
+    def __init__(self, relation: DataFrame, chosen: Sequence[AttributeWeight], cfg: DetectConfig, weighted: bool, similarity: Similarity = lev_sim):
+        self.relation, self.cfg, self.similarity = relation, cfg, similarity
+        self.names = [a.attribute for a in chosen]
+        self.weights = [a.weight for a in chosen] if weighted else None
+        self.source = _named(relation, cfg.two_in_one) if cfg.two_in_one is not None else None
+
+    @property
+    def carried(self) -> list[str]:
+        return [f"v{i}" for i in range(len(self.names))] + ["source"] * (self.source is not None)
+
+    def values(self) -> DataFrame:
+        """rid and the carried columns; for edit distances no more of a value than is compared."""
+        value = (lambda c: F.substring(F.lower(c), 1, self.cfg.max_value_length)) if self.similarity is lev_sim else (lambda c: c)
+        columns = [value(F.col(quoted(c))).alias(f"v{i}") for i, c in enumerate(self.names)]
+        return self.relation.select(F.col(RID).alias("rid"), *columns, *([F.col(quoted(self.source)).alias("source")] if self.source else []))
+
+    def scored(self, pairs: DataFrame) -> DataFrame:
+        """rid1 < rid2, rank, sim of pairs with carried columns.
+
+        Where lengths alone put a pair below the threshold, sim is that bound; where the edit distance of a single
+        attribute is beyond what the threshold allows, sim is 0.
+        """
+        cfg = self.cfg
+        if self.source:
+            pairs = pairs.where(~F.col("source_1").eqNullSafe(F.col("source_2")))
+        both = [(F.col(f"v{i}_1"), F.col(f"v{i}_2")) for i in range(len(self.names))]
+        if self.similarity is lev_sim:
+            longest, nan = cfg.max_value_length, F.lit(float("nan"))
+            most = int((1 - cfg.similarity_threshold) * longest + 1e-9) if len(both) == 1 and self.weights is None else None
+            bound = record_sim(both, self.weights, lambda a, b: lev_bound(a, b, longest))
+            sim = record_sim(both, self.weights, lambda a, b: lev_sim(a, b, longest, most))
+            # The bound is cheap; distances are worked out only where they can matter.
+            sim = F.when(F.isnan(bound), nan).when(bound < cfg.similarity_threshold - 1e-9, bound).otherwise(sim)
+        else:
+            sim = record_sim(both, self.weights, self.similarity)
+        return pairs.select(F.least("rid1", "rid2").alias("rid1"), F.greatest("rid1", "rid2").alias("rid2"), "rank", sim.alias("sim"))
+
+    def of_pairs(self, pairs: DataFrame) -> DataFrame:
+        """Scores rid pairs: both records are looked up."""
+        side = lambda end: self.values().select(F.col("rid").alias(f"rid{end}"), *(F.col(c).alias(f"{c}_{end}") for c in self.carried))
+        return self.scored(pairs.join(side(1), "rid1").join(side(2), "rid2"))
+
+    def of_one_key(self, key: Column, concurrent: bool) -> DataFrame:
+        """Scores the pairs of one order as they are generated: records carry their values through the pair join."""
+        placed = cut(positions(keyed(self.relation, [key])), "positions")
+        return self.scored(_generated(placed.join(self.values(), "rid"), self.relation.count(), 1, self.cfg, concurrent, self.carried))
 
 
 def run(
@@ -93,7 +123,8 @@ def run(
     if not chosen or not keys:
         none = relation.sparkSession.createDataFrame([], "rid1 long, rid2 long, rank long, sim double")
         return Run(list(chosen), none, named_pairs(relation, none, id_col))
-    scored = score(relation, candidate_pairs(relation, keys, cfg, concurrent), chosen, cfg, weighted, similarity)
+    scoring = Scoring(relation, chosen, cfg, weighted, similarity)
+    scored = scoring.of_one_key(keys[0], concurrent) if len(keys) == 1 else scoring.of_pairs(candidate_pairs(relation, keys, cfg, concurrent))
     return Run(list(chosen), scored, named_pairs(relation, scored.where(at_least(F.col("sim"), cfg.similarity_threshold)), id_col))
 
 

@@ -44,10 +44,13 @@ def read_relation(spark: SparkSession, path: str, cfg: DetectConfig = DetectConf
 
 
 def as_relation(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None, max_attributes: int = 100) -> DataFrame:
-    """Any typed DataFrame as strings; ``_rid`` is the one integer column of ``order``, or a hash-free rank by it."""
+    """Any typed DataFrame as strings.  ``_rid`` is the one integer column of ``order``, or increases in its order."""
     columns = list(columns or df.columns)[:max_attributes]
-    rid = F.col(order[0]).cast("long") if len(order) == 1 and dict(df.dtypes)[order[0]] in ("int", "bigint", "smallint", "tinyint") else F.monotonically_increasing_id()
-    return df.select(rid.alias(RID), F.lit(False).alias("_ragged"), *(F.col(c).cast("string").alias(c) for c in columns))
+    values = [F.col(c).cast("string").alias(c) for c in columns]
+    if len(order) == 1 and dict(df.dtypes)[order[0]] in ("int", "bigint", "smallint", "tinyint"):
+        return df.select(F.col(order[0]).cast("long").alias(RID), F.lit(False).alias("_ragged"), *values)
+    # Ids by partition of a sorted frame; written, as sampled range bounds may differ from one run to the next.
+    return cut(df.orderBy(*order).select(F.monotonically_increasing_id().alias(RID), F.lit(False).alias("_ragged"), *values), "relation")
 
 
 def attributes(relation: DataFrame) -> list[str]:
