@@ -77,35 +77,46 @@ def winnowed(lines: DataFrame, gram: int, window: int) -> DataFrame:
 
 
 def matches(lines: DataFrame, gram: int, window: int) -> DataFrame:
-    """d, h, d0, h0, shift: pairs of texts that share a fingerprint, each with the earlier place's line minus the later's."""
+    """d, h, d0, h0, marks: two texts of which the first repeats fingerprints that have their first place in the second.
+
+    A mark is a shift (the earlier place's line minus the later's) and the outermost matching lines along it.
+    """
     prints = winnowed(lines, gram, window)
     firsts = prints.groupBy("f").agg(F.min(F.struct("d", "h", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Written, so the join reads two plain shuffles and the places of a very common fingerprint can be split.
     pairs = prints.join(cut(firsts, "firsts"), "f").where(F.struct("d", "h", "pos") > F.col("first"))
-    pairs = pairs.select("d", "h", F.col("first.d").alias("d0"), F.col("first.h").alias("h0"), (F.col("first.pos") - F.col("pos")).alias("shift"), "pos")
-    return pairs.groupBy("d", "h", "d0", "h0", "shift").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    pairs = pairs.select("d", "h", F.col("first.d").alias("d0"), F.col("first.h").alias("h0"), F.struct((F.col("first.pos") - F.col("pos")).alias("shift"), "pos").alias("hit"))
+    return pairs.groupBy("d", "h", "d0", "h0").agg(F.array_sort(F.collect_list("hit")).alias("hits")).select("d", "h", "d0", "h0", _marks().alias("marks"))
 
 
-SPANS = "array<struct<a:int,b:int>>"
+def _marks() -> Column:
+    """The sorted ``hits`` as array<struct<shift, low, high>>: first and last matching line of each shift."""
+    none = F.array().cast("array<struct<shift:int,low:int,high:int>>")
+    mark = lambda s: F.array(F.struct(s["shift"].alias("shift"), s["low"].alias("low"), s["high"].alias("high")))
+    done = lambda s: F.when(s["low"] >= 0, F.concat(s["out"], mark(s))).otherwise(s["out"])
+
+    def step(s: Column, x: Column) -> Column:
+        same = (s["low"] >= 0) & (s["shift"] == x["shift"])
+        return F.struct(x["shift"].alias("shift"), F.when(same, s["low"]).otherwise(x["pos"]).alias("low"), x["pos"].alias("high"), F.when(same, s["out"]).otherwise(done(s)).alias("out"))
+
+    return F.aggregate("hits", F.struct(F.lit(0).alias("shift"), F.lit(-1).alias("low"), F.lit(-1).alias("high"), none.alias("out")), step, done)
 
 
-def _start() -> Column:
-    """The first line that is looked at of a document around its matches."""
-    return F.greatest(F.col("low") - REACH, F.lit(0))
+SPANS = "array<struct<a:int,b:int>>"
 
 
-def _earlier(gram: int) -> Column:
-    """The lines of the earlier text that lie across from those; lines before its start are null."""
-    first, n = _start() + F.col("shift"), F.col("high") + gram + REACH - _start()
-    before = F.greatest(-first, F.lit(0))
-    return F.concat(F.array_repeat(F.lit(None).cast("long"), before), F.slice("hashes", F.greatest(first, F.lit(0)) + 1, F.greatest(n - before, F.lit(0))))
+def _across(gram: int) -> list[Column]:
+    """The part of the earlier text's lines that lies across from what is looked at, and its first line's number."""
+    ends = F.aggregate("marks", F.struct(F.lit((1 << 31) - 1).alias("a"), F.lit(0).alias("b")), lambda s, m: F.struct(F.least(s["a"], m["low"] + m["shift"] - REACH).alias("a"), F.greatest(s["b"], m["high"] + m["shift"] + gram + REACH).alias("b")))
+    first = F.greatest(ends["a"], F.lit(0))
+    return [first.alias("first"), F.slice("hashes", first + 1, ends["b"] - first).alias("across")]
 
 
-def _runs(gram: int) -> Column:
-    """First and last line of the runs that are equal in both texts along the shift, around the matches."""
-    start = _start()
-    lines = F.slice("hashes", start + 1, F.col("high") + gram + REACH - start)
-    marked = F.transform(lines, lambda x, i: F.struct((start + i).alias("i"), F.coalesce(x == F.get("across", i), F.lit(False)).alias("same")))
+def _runs(mark: Column, gram: int) -> Column:
+    """First and last line of the runs that are equal in both texts along a mark's shift, around its matches."""
+    start = F.greatest(mark["low"] - REACH, F.lit(0))
+    lines = F.slice("hashes", start + 1, mark["high"] + gram + REACH - start)
+    marked = F.transform(lines, lambda x, i: F.struct((start + i).alias("i"), F.coalesce(x == F.get("across", start + i + mark["shift"] - F.col("first")), F.lit(False)).alias("same")))
     marked = F.concat(marked, F.array(F.struct((start + F.size(lines)).alias("i"), F.lit(False).alias("same"))))
 
     def step(s: Column, x: Column) -> Column:
@@ -140,8 +151,8 @@ def repeats(docs: DataFrame, unique: bool, gram: int = GRAM, window: int = WINDO
     lines = hashed_lines(docs, unique, least_chars)
     pairs = matches(lines, gram, window)
     earlier = lines.select(F.col("d").alias("d0"), F.col("h").alias("h0"), "hashes")
-    pairs = pairs.join(earlier, ["d0", "h0"]).select("d", "h", "low", "high", _earlier(gram).alias("across"))
-    pairs = pairs.join(lines, ["d", "h"]).select("d", "h", _runs(gram).alias("found"))
+    pairs = pairs.join(earlier, ["d0", "h0"]).select("d", "h", "marks", *_across(gram))
+    pairs = pairs.join(lines, ["d", "h"]).select("d", "h", F.flatten(F.transform("marks", lambda m: _runs(m, gram))).alias("found"))
     whole = pairs.groupBy("d", "h").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("runs")).where(F.size("runs") > 0)
     return whole.select("d", "h", _merged().alias("spans"))
 
