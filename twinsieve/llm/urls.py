@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: Bytes of index that may be broadcast; ``judge`` refuses a longer list, ``judge_by_join`` takes it.
 MAX_INDEX_BYTES = 256 << 20
@@ -180,7 +180,7 @@ def judge_by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring("path", F.lit(1), n))
-    split = split_url(urls).withColumn("key", F.monotonically_increasing_id())
+    split = cut(split_url(urls).withColumn("key", F.monotonically_increasing_id()), "urls")
     keys = split.where("host <> ''").select("key", F.explode(parents).alias("h"), prefixes.alias("ps")).select("key", "h", F.explode("ps").alias("p")).withColumn("digest", F.xxhash64("h", "p"))
     fits = keys.join(rules, "digest").where("h = rule_host and p = rule_path")
     top = fits.groupBy("key").agg(F.max(F.struct(F.octet_length(F.concat("h", "p")).alias("n"), F.octet_length("h").alias("m"), F.concat("h", "p").alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("top"))
