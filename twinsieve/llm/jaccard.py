@@ -139,7 +139,7 @@ def classes_of(sketch: DataFrame) -> DataFrame:
 def candidate_components(classes: DataFrame) -> DataFrame:
     """node, root of the classes that share a band with another one."""
     keys = classes.select("node", F.explode("bands").alias("key"))
-    leads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").drop("last")
+    leads = cut(keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").drop("last"), "leads")
     return components(keys.join(leads, "key").where("node > lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
 
 
@@ -274,7 +274,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, chun
     groups = components(found.where("peer is not null"), "node", "peer").withColumnRenamed("node", "n")
     sums = found.where("peer is null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts")).withColumnRenamed("node", "n")
     known = classes.select("t1", "t2", "node", "copies").join(groups, F.col("node") == F.col("n"), "left").drop("n").join(sums, F.col("node") == F.col("n"), "left").drop("n")
-    rows = sketch.select("d", "t1", "t2").join(known, ["t1", "t2"])
+    rows = sketch.select("d", "t1", "t2").join(cut(known, "known"), ["t1", "t2"])  # plain shuffles, so many copies can be split
     zero = F.lit(0).cast("long")
     out = rows.select(F.col("d").alias("doc_id"), F.coalesce("root", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", zero)).alias("n_links"), F.coalesce("texts", zero).alias("n_link_texts"), F.col("copies").alias("n_copies"))
     none = docs.where(F.col("doc_id").isNull()).select(*(F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id")), *(zero.alias(c) for c in ("n_links", "n_link_texts")), F.lit(1).cast("long").alias("n_copies"))
