@@ -211,7 +211,7 @@ def test_fingerprint_algebra(spark):
 # 4
 
 
-def brute_lines(rows, gram=3, least=150):
+def brute_lines(rows, gram=lines.GRAM, least=lines.LEAST_CHARS):
     """Lines covered by grams (or long lines) that occurred before, in stretches of enough characters."""
     seen, out = set(), {}
     for i, t in sorted(rows):

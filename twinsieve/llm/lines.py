@@ -1,7 +1,7 @@
 """Line dedup by winnowing over line hashes (operator 4), in SQL functions only.
 
 A text's lines are cut at line ends and, so that a passage within a long line is seen too, after the end of a
-sentence.  Each line is hashed (lower case, no blanks around).  Of every window of ``window`` consecutive hashes of
+sentence or clause.  Each line is hashed (lower case, no blanks around).  Of every window of ``window`` consecutive hashes of
 ``gram`` lines the smallest is a fingerprint, so any repeated run of window + gram - 1 lines has one in common
 with its other place; a line of at least ``least_chars`` characters is always one.  Each fingerprint's places are
 joined to its first place in order of (doc_id, text hash, line), never to each other.  Matches along one shift of
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import ROW, cut, let, table, text_or_empty, whole_row
 
-CUTS = r"(?<=\n)|(?<=[.!?] )"
-#: Stands for a blank after a sentence; texts that hold it themselves are cut by the slower pattern.
-MARK = "\u0001"
-GRAM, WINDOW, LEAST_CHARS, REACH = 3, 2, 150, 8
+#: What a line may end with before a blank.
+ENDS = ".!?,;:"
+CUTS = rf"(?<=\n)|(?<=[{ENDS}] )"
+GRAM, WINDOW, LEAST_CHARS, REACH = 3, 2, 100, 8
 NO_ID = -(1 << 63)
 
 
@@ -43,11 +43,11 @@ def unique_ids(docs: DataFrame) -> bool:
 
 
 def _bare_lines(text: Column) -> Column:
-    """The same lines in lower case, without their ends, by plain replacement and a pattern without look-behind."""
+    """The same lines in lower case, without their ends, by plain replacement: cutting at a single character is fast."""
     marked = F.lower(text)
-    for end in ".!?":
-        marked = F.replace(marked, F.lit(f"{end} "), F.lit(end + MARK))
-    return F.when(F.instr(text, MARK) > 0, F.transform(lines_of(F.lower(text)), lambda x: F.rtrim(x, F.lit(" \n")))).otherwise(F.split(marked, f"[\n{MARK}]"))
+    for end in ENDS:
+        marked = F.replace(marked, F.lit(f"{end} "), F.lit(f"{end}\n"))
+    return F.split(marked, "\n")
 
 
 def hashed_lines(docs: DataFrame, unique: bool, least_chars: int) -> DataFrame:
@@ -105,30 +105,33 @@ def _marks() -> Column:
 SPANS = "array<struct<a:int,b:int>>"
 
 
-def _across(gram: int) -> list[Column]:
+def _across(gram: int) -> Column:
     """The part of the earlier text's lines that lies across from what is looked at, and its first line's number."""
     ends = F.aggregate("marks", F.struct(F.lit((1 << 31) - 1).alias("a"), F.lit(0).alias("b")), lambda s, m: F.struct(F.least(s["a"], m["low"] + m["shift"] - REACH).alias("a"), F.greatest(s["b"], m["high"] + m["shift"] + gram + REACH).alias("b")))
-    first = F.greatest(ends["a"], F.lit(0))
-    return [first.alias("first"), F.slice("hashes", first + 1, ends["b"] - first).alias("across")]
+    part = lambda e: F.struct(F.greatest(e["a"], F.lit(0)).alias("first"), F.slice("hashes", F.greatest(e["a"], F.lit(0)) + 1, e["b"] - F.greatest(e["a"], F.lit(0))).alias("lines"))
+    return let(ends, part)
 
 
 def _runs(mark: Column, gram: int) -> Column:
     """First and last line of the runs that are equal in both texts along a mark's shift, around its matches."""
-    start = F.greatest(mark["low"] - REACH, F.lit(0))
-    lines = F.slice("hashes", start + 1, mark["high"] + gram + REACH - start)
-    marked = F.transform(lines, lambda x, i: F.struct((start + i).alias("i"), F.coalesce(x == F.get("across", start + i + mark["shift"] - F.col("first")), F.lit(False)).alias("same")))
-    marked = F.concat(marked, F.array(F.struct((start + F.size(lines)).alias("i"), F.lit(False).alias("same"))))
 
-    def step(s: Column, x: Column) -> Column:
-        ends = ~x["same"] & (s["a"] >= 0)
-        ends = ends & ((x["i"] - s["a"] >= gram) | s["long"])
+    def step(s: Column, same: Column) -> Column:
+        ends = ~same & (s["a"] >= 0) & ((s["i"] - s["a"] >= gram) | s["long"])
         return F.struct(
-            F.when(x["same"] & (s["a"] < 0), x["i"]).when(x["same"], s["a"]).otherwise(-1).alias("a"),
-            (x["same"] & (s["long"] | F.get("long", x["i"]))).alias("long"),
-            F.when(ends, F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), (x["i"] - 1).alias("b"))))).otherwise(s["out"]).alias("out"),
+            (s["i"] + 1).alias("i"),
+            F.when(~same, -1).when(s["a"] < 0, s["i"]).otherwise(s["a"]).alias("a"),
+            (same & (s["long"] | F.get("long", s["i"]))).alias("long"),
+            F.when(ends, F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), (s["i"] - 1).alias("b"))))).otherwise(s["out"]).alias("out"),
         )
 
-    return F.aggregate(marked, F.struct(F.lit(-1).alias("a"), F.lit(False).alias("long"), F.array().cast(SPANS).alias("out")), step, lambda s: s["out"])
+    def walk(at: Column) -> Column:
+        lines = F.slice("hashes", at["start"] + 1, mark["high"] + gram + REACH - at["start"])
+        same = F.transform(lines, lambda x, i: F.coalesce(x == F.get("across.lines", at["base"] + i), F.lit(False)))
+        begin = F.struct(at["start"].alias("i"), F.lit(-1).alias("a"), F.lit(False).alias("long"), F.array().cast(SPANS).alias("out"))
+        return F.aggregate(F.concat(same, F.array(F.lit(False))), begin, step, lambda s: s["out"])
+
+    start = F.greatest(mark["low"] - REACH, F.lit(0))
+    return let(F.struct(start.alias("start"), (start + mark["shift"] - F.col("across.first")).alias("base")), walk)
 
 
 def _merged() -> Column:
@@ -151,7 +154,7 @@ def repeats(docs: DataFrame, unique: bool, gram: int = GRAM, window: int = WINDO
     lines = hashed_lines(docs, unique, least_chars)
     pairs = matches(lines, gram, window)
     earlier = lines.select(F.col("d").alias("d0"), F.col("h").alias("h0"), "hashes")
-    pairs = pairs.join(earlier, ["d0", "h0"]).select("d", "h", "marks", *_across(gram))
+    pairs = pairs.join(earlier, ["d0", "h0"]).select("d", "h", "marks", _across(gram).alias("across"))
     pairs = pairs.join(lines, ["d", "h"]).select("d", "h", F.flatten(F.transform("marks", lambda m: _runs(m, gram))).alias("found"))
     whole = pairs.groupBy("d", "h").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("runs")).where(F.size("runs") > 0)
     return whole.select("d", "h", _merged().alias("spans"))
