@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge down (u to v) and none has both a node above and one below it."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: every node of ``edges`` with the smallest node of its component.
 
@@ -15,14 +21,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a group in one task; rounds grow with the logarithm of the longest path.  Null ends take no part.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    now, before = cut(now, "edges"), None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-        if not before[0]:
-            break
+    now = cut(now, "edges")
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # The least neighbours are written, so the joins read two plain shuffles and the edges of one node can be split.
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
