@@ -11,6 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by ``by`` over all configured shuffle partitions.
+
+    Pairs are few bytes and much work to compare; left to itself, adaptive execution would merge small shuffles
+    into a few tasks.  Window and block buckets hold a bounded number of records, so none is hot.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _side(carry: Sequence[str], end: int) -> list[Column]:
     return [F.col(c).alias(f"{c}_{end}") for c in carry]
 
@@ -27,7 +36,7 @@ def band_pairs(placed: DataFrame, window: int, carry: Sequence[str] = ()) -> Dat
     d = max(window - 1, 1)
     a = placed.select("k", F.col("rid").alias("rid1"), F.col("pos").alias("p1"), F.expr(f"pos div {d}").alias("bucket"), *_side(carry, 1))
     b = placed.select("k", F.col("rid").alias("rid2"), F.col("pos").alias("p2"), F.explode(F.array(F.expr(f"pos div {d}"), F.expr(f"pos div {d} - 1"))).alias("bucket"), *_side(carry, 2))
-    pairs = a.join(b, ["k", "bucket"]).where((F.col("p2") - F.col("p1")).between(1, window - 1))
+    pairs = spread(a, "k", "bucket").join(spread(b, "k", "bucket"), ["k", "bucket"]).where((F.col("p2") - F.col("p1")).between(1, window - 1))
     return pairs.select("k", "rid1", "rid2", (F.col("p2") - F.col("p1")).alias("distance"), F.col("p1").alias("pos"), *_both(carry))
 
 
@@ -49,7 +58,7 @@ def block_pairs(placed: DataFrame, block_size: int, block_range: int, carry: Seq
     a = rows.select("k", F.col("rid").alias("rid1"), F.col("pos").alias("p1"), "block", *_side(carry, 1))
     near = F.sequence(F.greatest(F.col("block") - block_range, F.lit(0).cast("long")), F.col("block"))
     b = rows.select("k", F.col("rid").alias("rid2"), F.col("pos").alias("p2"), F.col("block").alias("own"), F.explode(near).alias("block"), *_side(carry, 2))
-    pairs = a.join(b, ["k", "block"]).where("p1 < p2")
+    pairs = spread(a, "k", "block").join(spread(b, "k", "block"), ["k", "block"]).where("p1 < p2")
     return pairs.select("k", "rid1", "rid2", (F.col("own") - F.col("block")).alias("distance"), F.col("p1").alias("pos"), *_both(carry))
 
 

@@ -89,7 +89,7 @@ class Scoring:
     def of_pairs(self, pairs: DataFrame) -> DataFrame:
         """Scores rid pairs: both records are looked up."""
         side = lambda end: self.values().select(F.col("rid").alias(f"rid{end}"), *(F.col(c).alias(f"{c}_{end}") for c in self.carried))
-        return self.scored(pairs.join(side(1), "rid1").join(side(2), "rid2"))
+        return self.scored(C.spread(pairs.join(side(1), "rid1"), "rid2").join(C.spread(side(2), "rid2"), "rid2"))
 
     def of_one_key(self, key: Column, concurrent: bool) -> DataFrame:
         """Scores the pairs of one order as they are generated: records carry their values through the pair join."""
