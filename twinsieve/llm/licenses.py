@@ -1,13 +1,17 @@
 """Licence scans by sentence rules (operator 8), in SQL functions only.
 
-A text's sentences (cut at line ends and after sentence ends) are normalised and mapped to identifiers of known
-licence sentences; the sequence of identifiers is matched against ordered rules.  Edge cases: null and empty texts
-match nothing; repeated rows are scanned each; only doc_id and text are read.
+A text becomes one stream of words: lower case, everything but letters, digits and plus signs a blank.  So line ends,
+comment marks, long blanks and punctuation don't matter, and a known sentence is found wrapped, commented or followed
+by a clause.  Known sentences are mapped to identifiers, the leftmost first and the longest of those that begin at one
+word; the sequence of identifiers is matched against ordered rules.  Edge cases: null and empty texts match nothing;
+repeated rows are scanned each; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
@@ -15,10 +19,10 @@ from .common import table, text_or_empty
 #: Known sentences as they are normalised, and their identifiers.
 SENTENCES = {
     "all rights reserved": "reserved",
-    "licensed under cc by-nc 4.0": "ccbync4",
-    "licensed under the apache license, version 2.0": "apache2",
+    "licensed under cc by nc 4 0": "ccbync4",
+    "licensed under the apache license version 2 0": "apache2",
     "released under the mit license": "mit",
-    "this work is licensed under the gnu general public license, version 3": "gpl3",
+    "this work is licensed under the gnu general public license version 3": "gpl3",
 }
 #: Licences and the identifiers that must occur in this order, others between them allowed.
 RULES = (
@@ -28,14 +32,43 @@ RULES = (
     ("MIT", ("mit",)),
     ("Proprietary", ("reserved",)),
 )
+#: Comment marks that are words, at the beginning of a line.
+WORD_MARKS = r"(?im)^[ \t]*(?:dnl|rem)[ \t]"
+
+
+def words(text: Column) -> Column:
+    """The words of a text, with one blank before and after each."""
+    bare = F.regexp_replace(F.lower(F.regexp_replace(text, WORD_MARKS, " ")), r"[^\p{L}\p{M}\p{N}+]+", " ")
+    return F.replace(F.concat(F.lit(" "), F.trim(bare), F.lit(" ")), F.lit(" + "), F.lit(" "))
+
+
+def pattern(sentences: list[str]) -> str:
+    """A regular expression of all sentences, longest first, that branches word by word."""
+    tree: dict = {}
+    for s in sentences:
+        node = tree
+        for w in s.split(" "):
+            node = node.setdefault(w, {})
+        node[""] = {}
+
+    def branch(node: dict) -> str:
+        parts = [" " + re.escape(w) + branch(below) for w, below in sorted(node.items()) if w]
+        parts += ["(?= )"] if "" in node else []
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return branch(tree)
+
+
+def identified(text: Column) -> Column:
+    """The identifiers of the known sentences in a text, in order."""
+    known = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
+    found = F.regexp_extract_all(words(text), F.lit(pattern(list(SENTENCES))), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.trim(s)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (in order), licenses (sorted names of the rules that match)."""
-    bare = lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), r"\s+", " ")), r"[.!?]+$", "")
-    known = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
-    found = F.transform(F.split(text_or_empty(), r"\n|(?<=[.!?]) "), lambda s: F.when(F.length(s) < 200, F.try_element_at(known, bare(s))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(found, lambda x: x.isNotNull()).alias("sentence_ids"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identified(text_or_empty()).alias("sentence_ids"))
     joined = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
     names = [F.when(joined.rlike("," + ",(?:[^,]+,)*".join(ids) + ","), F.lit(name)) for name, ids in RULES]
     return rows.withColumn("licenses", F.filter(F.array(*names), lambda x: x.isNotNull()))
