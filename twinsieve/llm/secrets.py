@@ -4,9 +4,11 @@ Base spans are those of three patterns.  Beside them, every other run of 20 or m
 a candidate.  Its encoding is inferred from its characters (decimal, hex, one-case letters, base32, letters and
 digits, base64).  Three tests ask whether it is random in that alphabet: chi-squared uniformity, number of runs
 above and below the alphabet's middle, and serial correlation; Fisher's method joins them.  A fourth number asks
-how likely ordinary text of that length would be as uniform; Benjamini-Hochberg over all candidates of a length
-class turns it into a bound, so the false-discovery rate holds at each length, short ones with little power
-included.  A candidate is a secret if it passes both.  Bounds come from counts in fixed bins (at most
+how likely ordinary text would be such a run: by its letter pairs and changes between kinds of characters, against
+equally likely ones (an inverse likelihood ratio bounds the chance), and for letters with digits also by how uniform
+it is.  Benjamini-Hochberg over all candidates of a length class turns it into a bound, so the false-discovery rate holds at each length, short ones with little power
+included.  A candidate is a secret if it passes both.  Runs of digits alone can't be told from ordinary numbers: they
+are neither reported nor counted.  Bounds come from counts in fixed bins (at most
 LENGTH_CLASSES x BINS rows); no candidate travels.
 
 Edge cases: a null text is the empty one; empty texts have no spans (digest of the empty string).  Positions are
@@ -15,6 +17,8 @@ code points, ends exclusive.  Repeated rows are scanned each.  Other columns are
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,20 @@ ENCODINGS = (
 #: False-discovery rate within a length class, and the least joint p-value of the three randomness tests.
 RATE, LEAST_P = 0.01, 0.001
 LENGTH_CLASSES, BINS, PER_DECADE = 24, 65, 4
+#: Half bits (a = 0) of a letter after a letter in ordinary text, of pairs aa, ab, ... zz; counted over the
+#: Python library's sources and documents in four languages, a tenth of the weight dealt evenly.
+PAIRS = [ord(c) - 97 for c in (
+    "mljklpmojpoijfmmphhfinoonqjpmoeqppkiqeppioqllpiqqqipjqopipqdgqkjopgpqmnimpqqpqimoldpqlgpqlqlgpqljjkqnpoqinkiklonjqphmgmmofhinnnkoo"
+    "hmnnhknmgqokpnenqgkikopqoohmoqdqnjiqpjojjoqkgkjnnqqofmpqdqplhqpmolhpqlljnpnqppmnjmhjmpoqpkkdgnplhhqmpoqncqmqeqqqoqnqqqhoqqopiqqqpq"
+    "lqonbpnqjqqkplnnpnjompjqpqhpomdhpqhqqhppjoqpkllppqgqhlpocqqqgqqompiiqplomqqqpqimjggnhlkqnlolhnpmifmmnqopnlljoioqlqomkenkqfjjgompqq"
+    "dqoohfqplqpjpphkqinjmopqlqppqpqqqqpqqoqnopplnpaqqqqqhmmndokliqnmmihopjjimonqmpkoiofpngippmnnklomjekpoqnqionogopdfqpnonioqikljpnqlm"
+    "klmoflnnkqpijglkogjiooohqpfqpqcpqpeqqqopipqpqqqqpqqqgppnipqdfqqnqljpqimpqqopqqhogpgoqpiqqkkqiiljnfqlqnopjlnogopjiqqkliigqlggppkqpp"
+    "jmmpdqnmipnlmolopnmmdoqqpn"
+)]
+#: Chances of a lower-case letter, upper-case letter, digit and sign in ordinary runs after one of each.
+CHANGES = ((0.78, 0.10, 0.04, 0.08), (0.20, 0.70, 0.05, 0.05), (0.15, 0.10, 0.60, 0.15), (0.50, 0.20, 0.20, 0.10))
+#: Half bits of a letter not looked at as a pair, of a digit and of a sign, equally likely ones.
+LETTER, DIGIT, SIGN = 9, 7, 5
 
 
 def matched(text: Column, kind: str, pattern: str, group: int) -> dict[str, Column]:
@@ -75,6 +93,18 @@ def _by_encoding(token: Column, value: int) -> Column:
     return out
 
 
+def _cost(last: Column, kind0: Column, c: Column, kind: Column) -> Column:
+    """Half bits of a character after another one in ordinary text."""
+    changes = F.array(*(F.lit(round(-2 * log2(x))) for row in CHANGES for x in row))
+    pair = F.get(F.array(*(F.lit(x) for x in PAIRS)), (last.bitwiseAND(31) - 1) * 26 + c.bitwiseAND(31) - 1)
+    own = F.when(kind == 2, DIGIT).when(kind == 3, SIGN).when((kind0 < 2) & (kind <= kind0), pair).when((kind0 == 1) & (kind == 0), pair).otherwise(LETTER)
+    return F.get(changes, kind0 * 4 + kind) + own
+
+
+def _kind(c: Column) -> Column:
+    return F.when(c >= 97, 0).when((c >= 65) & (c <= 90), 1).when((c >= 48) & (c <= 57), 2).otherwise(3)
+
+
 def measured(token: Column, span: Column) -> Column:
     """What the tests need of a token: length, alphabet, sum of squared counts, runs, moments of the code points."""
     codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.ascii(c))
@@ -89,7 +119,7 @@ def measured(token: Column, span: Column) -> Column:
     middle = F.element_at(order, F.greatest(F.floor(F.size(order) / 2), F.lit(1)).cast("int"))
     walk = F.aggregate(
         codes,
-        F.struct(F.lit(-1).alias("last"), zero.alias("runs"), zero.alias("high"), zero.alias("s1"), zero.alias("s2"), zero.alias("lag"), F.lit(0).alias("first"), middle.alias("middle")),
+        F.struct(F.lit(-1).alias("last"), zero.alias("runs"), zero.alias("high"), zero.alias("s1"), zero.alias("s2"), zero.alias("lag"), F.lit(0).alias("first"), middle.alias("middle"), zero.alias("cost")),
         lambda a, c: F.struct(
             c.alias("last"),
             (a["runs"] + F.when((a["last"] < 0) | ((c > a["middle"]) != (a["last"] > a["middle"])), 1).otherwise(0)).alias("runs"),
@@ -99,6 +129,7 @@ def measured(token: Column, span: Column) -> Column:
             (a["lag"] + F.when(a["last"] < 0, 0).otherwise(c * a["last"])).alias("lag"),
             F.when(a["last"] < 0, c).otherwise(a["first"]).alias("first"),
             a["middle"].alias("middle"),
+            (a["cost"] + F.when(a["last"] < 0, 0).otherwise(_cost(a["last"], _kind(a["last"]), c, _kind(c)))).alias("cost"),
         ),
     )
     return F.struct(
@@ -108,7 +139,7 @@ def measured(token: Column, span: Column) -> Column:
     )
 
 
-def tested(x: Column) -> Column:
+def tested(x: Column, least_p: float = LEAST_P) -> Column:
     """start, stop, length class, joint p-value of the randomness tests, p-value of ordinary text."""
     n, m, w = x["n"], x["m"], x["walk"]
     chi = m / n * x["squares"] - n
@@ -128,14 +159,19 @@ def tested(x: Column) -> Column:
     k2, k3 = x["k2"], x["k3"]
     pairs = n * (n - 1) / 2 * (k2 - k2 * k2) + n * (n - 1) * (n - 2) * (k3 - k2 * k2)
     ordinary = normal((chi - (m * (1 + (n - 1) * k2) - n)) / (m / n * 2 * F.sqrt(pairs)))
-    # Without both letters and digits a run is as likely as not a word; such runs never count.
-    p = F.when(x["mixed"], ordinary).otherwise(F.lit(1.0))
+    # The encoding is chosen from the characters, so each of them may have been tried.
+    gain = w["cost"] / 2 - (n - 1) * F.log2(m)
+    unlikely = F.least(F.lit(1.0), len(ENCODINGS) * F.pow(F.lit(2.0), -F.least(F.greatest(gain, F.lit(0.0)), F.lit(80.0))))
+    # Without both letters and digits a uniform run is as likely as not a word; there the likelihood decides alone.
+    either = F.least(F.lit(1.0), F.when(x["mixed"], 2 * F.least(ordinary, unlikely)).otherwise(unlikely))
+    # A run that fails the randomness tests is no discovery and must not help others to be one; digits alone don't count.
+    p = F.when(m == 10, F.lit(None).cast("double")).when(joint >= least_p, either).otherwise(F.lit(1.0))
     size_class = F.least(F.floor(F.log2(n)), F.lit(LENGTH_CLASSES - 1)).cast("int")
-    bin_ = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-17))) * PER_DECADE), F.lit(BINS - 1)).cast("int")
+    bin_ = F.when(p.isNotNull(), F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-17))) * PER_DECADE), F.lit(BINS - 1)).cast("int"))
     return F.struct(x["start"].alias("start"), x["stop"].alias("stop"), size_class.alias("class"), joint.alias("random_p"), p.alias("ordinary_p"), bin_.alias("bin"))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
+def scanned(docs: DataFrame, least_p: float = LEAST_P) -> DataFrame:
     """doc_id, the base spans of each kind, and the tested candidates of every row."""
     text = F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -147,12 +183,12 @@ def scanned(docs: DataFrame) -> DataFrame:
     free = lambda c: ~F.exists(F.concat(*(F.col(b[0]) for b in BASE)), lambda s: (s["start"] < c["span"]["stop"]) & (s["stop"] > c["span"]["start"]))
     pairs = F.filter(F.arrays_zip(F.col("m_candidate").alias("token"), F.col("found").alias("span")), free)
     rows = rows.withColumn("stats", F.transform(pairs, lambda c: measured(c["token"], c["span"])))
-    return rows.select("doc_id", *(b[0] for b in BASE), F.transform("stats", tested).alias("candidates"))
+    return rows.select("doc_id", *(b[0] for b in BASE), F.transform("stats", lambda x: tested(x, least_p)).alias("candidates"))
 
 
 def bounds(scan: DataFrame, rate: float = RATE) -> dict[int, int]:
     """For each length class the first bin whose candidates are discoveries (Benjamini-Hochberg over bins)."""
-    bins = scan.select(F.explode("candidates").alias("c")).groupBy(F.col("c.class").alias("class"), F.col("c.bin").alias("bin")).count()
+    bins = scan.select(F.explode("candidates").alias("c")).where("c.bin is not null").groupBy(F.col("c.class").alias("class"), F.col("c.bin").alias("bin")).count()
     upto = Window.partitionBy("class").orderBy(F.desc("bin"))
     edge = F.pow(F.lit(10.0), -F.col("bin") / PER_DECADE)
     ok = bins.withColumns({"so_far": F.sum("count").over(upto), "all": F.sum("count").over(Window.partitionBy("class"))}).where(edge * F.col("all") <= rate * F.col("so_far"))
@@ -165,7 +201,7 @@ def _named(spans: Column, order: int, kind: str) -> Column:
 
 def scan(docs: DataFrame, rate: float = RATE, least_p: float = LEAST_P) -> DataFrame:
     """doc_id and spans array<struct<start, kind, stop>> of every row, ordered; base kinds, and ``random`` for the battery's."""
-    rows = cut(scanned(docs), "secrets")
+    rows = cut(scanned(docs, least_p), "secrets")
     first = bounds(rows, rate)
     bound = F.create_map(*(F.lit(x) for kv in (first or {-1: BINS}).items() for x in kv))
     of_class = lambda c: F.coalesce(F.try_element_at(bound, c), F.lit(BINS))
