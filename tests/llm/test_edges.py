@@ -55,3 +55,21 @@ def test_pages_and_vectors(spark):
     out = topk.search(topk.integer_vectors(vectors), F.col("vec_id") % 20 == 0, 20).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"])] == [(20, 1, 5, 64 * 64 * 3), (20, 2, 6, 64 * 64)]
     assert topk.search(topk.integer_vectors(vectors.limit(0)), F.col("vec_id") % 20 == 0, 20).count() == 0
+
+
+def test_fingerprints_of_very_long_repeated_rows(spark):
+    long = " ".join(["same"] * 500_000)
+    docs = spark.createDataFrame([(1, long)] * 20 + [(0, "short")], "doc_id long, text string").repartition(4)
+    out = fingerprints.compared(docs).collect()
+    assert len(out) == 21 and len({str(r.fingerprint) for r in out}) == 2 and {sum(r.fingerprint.counts) for r in out} == {500_000, 1}
+
+
+def test_fingerprint_lanes_wrap_apart(spark):
+    n = 1_100_000
+    rows = spark.createDataFrame([("a", " ".join(["w"] * n)), ("b", "x y z"), ("ab", " ".join(["w"] * n) + "\nx y z")], "k string, t string")
+    f = {r.k: r.fingerprint for r in fingerprints.fingerprints(rows, "t", ["k"]).collect()}
+    whole = (1 << fingerprints.LANE_BITS)
+    assert sorted(c for c in f["a"].counts if c)[-1] == (n - 2) % whole or n % whole in f["a"].counts
+    assert [(x + y) % whole for x, y in zip(f["a"].counts, f["b"].counts)] == list(f["ab"].counts)
+    back = fingerprints.fingerprints(rows, "t", ["k"]).groupBy().pivot("k").agg(F.first("fingerprint"))
+    assert back.select((fingerprints.delete(fingerprints.insert(F.col("b"), F.col("a")), F.col("a")) == F.col("b")).alias("x"), (fingerprints.delete(F.col("ab"), F.col("b")) == F.col("a")).alias("y")).first() == (True, True)

@@ -5,11 +5,13 @@ import hashlib
 import os
 import random
 import re
+import struct
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -189,6 +191,43 @@ def test_components(spark):
 # 3
 
 
+def spark_hash(*parts):
+    """xxhash64 as Spark chains it: the hash so far seeds the next part's; a null part leaves it as it is."""
+    h = 42
+    for p in parts:
+        if p is not None:
+            h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else struct.pack("<i", p), h)
+    return h
+
+
+def brute_vectors(text):
+    digest, counts = [0] * fingerprints.DIGEST_LANES, [0] * fingerprints.LANES
+    for p in text.split("\n"):
+        for i in range(fingerprints.DIGEST_LANES // 2):
+            h = spark_int_hash(p, i)
+            digest[2 * i] = (digest[2 * i] + h) % 2**32
+            digest[2 * i + 1] = (digest[2 * i + 1] + (h >> 32)) % 2**32
+        ws = p.split(" ")
+        for j, w in enumerate(ws):
+            triple = (w, *ws[j + 1 : j + 3]) if len(ws) >= fingerprints.SHORT else (w,)
+            h = spark_hash(*triple)
+            counts[(h - (1 << 64) if h >> 63 else h) % fingerprints.LANES] += 1
+    return digest, counts
+
+
+def spark_int_hash(p, i):
+    """xxhash64 of a string and an int, as Spark hashes ints."""
+    m = (1 << 64) - 1
+    h = (spark_hash(p) + 0x27D4EB2F165667C5 + 4) & m
+    h ^= (i * 0x9E3779B185EBCA87) & m
+    h = ((h << 23 | h >> 41) & m) * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9 & m
+    h ^= h >> 33
+    h = h * 0xC2B2AE3D27D4EB4F & m
+    h ^= h >> 29
+    h = h * 0x165667B19E3779F9 & m
+    return h ^ h >> 32
+
+
 def test_fingerprints_against_brute_force(spark, make):
     rows = [(i, "\n".join(SENTENCE.format(random.Random(i * 7 + k).randrange(99)) for k in range(i % 5 + 1))) for i in range(30)] + [(40, ""), (41, None), (42, "ab")]
     got = {r.doc_id: r for r in fingerprints.compared(make(rows)).collect()}
@@ -197,6 +236,13 @@ def test_fingerprints_against_brute_force(spark, make):
         k = len(t) // 3
         edited = t[: len(t) - k] + u[:k]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for text, found in ((t, got[i].fingerprint), (edited, got[i].edited), (u, got[i].next)):
+            assert (list(found.digest), list(found.counts)) == brute_vectors(text)
+    near = fingerprints.compared(make(rows)).select("fingerprint", "edited", fingerprints.likeness(F.col("fingerprint"), F.col("edited")).alias("x")).collect()
+    for r in near:
+        x, y = np.sqrt(r.fingerprint.counts), np.sqrt(r.edited.counts)
+        wanted = 1.0 if r.fingerprint == r.edited else max(0.0, float(np.corrcoef(x, y)[0, 1])) if x.std() and y.std() else 0.0
+        assert abs(r.x - wanted) < 1e-9
 
 
 def test_fingerprint_algebra(spark):
