@@ -1,137 +1,141 @@
 """Line dedup by winnowing over line hashes (operator 4), in SQL functions only.
 
-A text's lines are cut at line ends and, so that a passage within a long line is seen too, after the end of a
-sentence or clause.  Each line is hashed (lower case, no blanks around).  Of every window of ``window`` consecutive hashes of
-``gram`` lines the smallest is a fingerprint, so any repeated run of window + gram - 1 lines has one in common
-with its other place; a line of at least ``least_chars`` characters is always one.  Each fingerprint's places are
-joined to its first place in order of (doc_id, text hash, line), never to each other.  Matches along one shift of
-two texts are extended both ways while lines are equal: over all lines between the outermost matches and up to
-``REACH`` lines beyond, further than which another match would be due.  Runs of at least ``gram`` equal lines (or
-one long line) are repeats; stretches of repeats of at least ``least_chars`` characters are deleted.  The first
+A text's lines are cut at line ends and after sentences and, so that a passage within a long line is seen too, by
+content: after each word whose hash is divisible by ``words``, the same words wherever the passage begins (texts without
+blanks, such as Chinese ones, count characters instead), and around words of 100 bytes or more.  Lines are hashed in
+lower case.  Of every ``window`` consecutive hashes of ``gram`` lines the smallest is a fingerprint, so any repeated run of
+window + gram - 1 lines has one in common with its other place; a long word is always one.  Each fingerprint's places are joined to its first
+place in order of (doc_id, text hash, line), never to each other, and a match is extended both ways while lines are
+equal.  It need not look farther than window - 1 lines: there the run's next fingerprint is due, which has a match of
+its own.  As the window is no longer than the gram, the fingerprints of a run leave no line between them; so of a
+repeated run everything is found but at most window - 1 lines at an end, where the last fingerprint's first place is
+another text that goes on otherwise.  Stretches of repeats of at least ``least_chars`` characters are deleted.  The first
 place of a fingerprint is never deleted on its account, so one copy of each passage stays.
 
+What a match is extended by are 16 bits of each neighbouring line, which travel with the fingerprint: of 65,536 ends of
+runs about two lose a line too many.
+
 Edge cases: a null text is the empty one; an empty text stays.  A null doc_id comes first.  Rows that repeat both
 doc_id and text are one document: they aren't deleted against each other and each gets the same result.  Texts
-without repeats are returned as they are, character by character.  Other columns are kept and can't clash.
+without repeats are returned as they are, character by character.  Texts are taken whole, however long; repeats within
+one text count, too.  An empty table gives an empty result.  Other columns are kept and can't clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROW, cut, let, table, text_or_empty, whole_row
 
-#: What a line may end with before a blank.
-ENDS = ".!?,;:"
+#: What a sentence may end with before a blank.
+ENDS = ".!?"
 CUTS = rf"(?<=\n)|(?<=[{ENDS}] )"
-GRAM, WINDOW, LEAST_CHARS, REACH = 3, 2, 100, 8
+#: One word in so many ends a line within a sentence (characters: three times as many).
+WORDS = 8
+#: Lines of a gram, grams of a window, characters of a stretch that is deleted, bytes of a word that is a line of its own.
+GRAM, WINDOW, LEAST_CHARS, LONG = 3, 3, 100, 100
 NO_ID = -(1 << 63)
+#: Bits of a place that tell the line; ids of fewer than 63 - LINE_BITS bits and a line fit into one number.
+LINE_BITS = 27
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(text, CUTS)
-
-
-def _key(docs: DataFrame, unique: bool) -> list[Column]:
-    """d, h: what tells documents apart; h is the text's hash, or 0 where doc_id does it alone (fewer bytes to move)."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), (F.lit(0).cast("long") if unique else F.xxhash64(text_or_empty())).alias("h")]
-
-
-def unique_ids(docs: DataFrame) -> bool:
-    return docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).count().where("count > 1").isEmpty()
+def _wide(text: Column) -> Column:
+    """Whether most characters take three bytes or more, as in scripts that mostly do without blanks."""
+    return F.octet_length(text) > 2 * F.length(text)
 
 
-def _bare_lines(text: Column) -> Column:
-    """The same lines in lower case, without their ends, by plain replacement: cutting at a single character is fast."""
-    marked = F.lower(text)
+def _sentences(text: Column) -> Column:
+    """The sentences in lower case, without their ends, by plain replacement: cutting at a single character is fast."""
+    bare = F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
     for end in ENDS:
-        marked = F.replace(marked, F.lit(f"{end} "), F.lit(f"{end}\n"))
-    return F.split(marked, "\n")
+        bare = F.replace(bare, F.lit(f"{end} "), F.lit(f"{end}\n"))
+    return F.split(F.replace(bare, F.lit("\t"), F.lit(" ")), "\n")
 
 
-def hashed_lines(docs: DataFrame, unique: bool, least_chars: int) -> DataFrame:
-    """d, h, hashes array<long>, long array<boolean> (lines of enough characters): a row for each distinct (doc_id, text)."""
-    rows = docs.select(*_key(docs, unique), _bare_lines(text_or_empty()).alias("lines"))
-    rows = rows.select("d", "h", F.transform("lines", lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform("lines", lambda x: F.length(x) >= least_chars).alias("long"))
-    return cut(rows if unique else rows.groupBy("d", "h").agg(F.any_value("hashes").alias("hashes"), F.any_value("long").alias("long")), "lines")
+def _odd(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(1)) == 1
 
 
-def winnowed(lines: DataFrame, gram: int, window: int) -> DataFrame:
-    """d, h, pos, f: the window minima, rightmost of equal ones, and the long lines."""
-    n = F.greatest(F.size("hashes") - (gram - 1), F.lit(0))
-    grams = F.slice(F.transform("hashes", lambda x, i: F.xxhash64(x, *(F.get("hashes", i + j) for j in range(1, gram)))), F.lit(1), n)
+def _words(sentence: Column, wide: Column) -> Column:
+    """Hashes of a sentence's words; those of long words are odd, the others even."""
+    return F.transform(F.when(wide, F.split(sentence, "")).otherwise(F.split(sentence, " ")), lambda w: F.when(F.octet_length(w) >= LONG, F.xxhash64(w).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(w).bitwiseAND(F.lit(-2))))
 
-    def least(grams: Column, i: Column) -> Column:
-        best, at = F.get(grams, i), i
-        for j in range(1, window):
-            other = F.get(grams, i + j)
-            better = other.isNotNull() & (other <= best)
-            best, at = F.when(better, other).otherwise(best), F.when(better, i + j).otherwise(at)
-        return at
 
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    minima = let(grams, lambda g: F.transform(F.array_distinct(F.transform(starts, lambda i: least(g, i))), lambda i: F.struct(i.alias("pos"), F.get(g, i).alias("f"))))
-    long = F.filter(F.transform("hashes", lambda x, i: F.when(F.get("long", i), F.struct(i.alias("pos"), F.xxhash64(x, F.lit("line")).alias("f")))), lambda x: x.isNotNull())
-    return lines.select("d", "h", F.explode(F.concat(minima, long)).alias("p")).select("d", "h", F.col("p.pos").alias("pos"), F.col("p.f").alias("f"))
+def _ends(hashes: Column, words: Column) -> Column:
+    """Where lines end: the places of their last words."""
+    return F.filter(F.transform(hashes, lambda h, i: F.when((F.pmod(h, 2 * words) == 0) | _odd(h) | _odd(F.get(hashes, i + 1)) | (i == F.size(hashes) - 1), i)), lambda i: i.isNotNull())
 
 
-def matches(lines: DataFrame, gram: int, window: int) -> DataFrame:
-    """d, h, d0, h0, marks: two texts of which the first repeats fingerprints that have their first place in the second.
+def _by_line(sentence: Column, wide: Column, words: int, line: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """``line(hashes, first, n, is_last)`` of each line of a sentence, over the hashes of its words."""
+    several = F.when(wide, F.lit(3 * words)).otherwise(F.lit(words)).cast("long")
+    before = lambda es, k: F.coalesce(F.get(es, k - 1), F.lit(-1))
+    return let(_words(sentence, wide), lambda hs: let(_ends(hs, several), lambda es: F.transform(es, lambda e, k: line(hs, before(es, k) + 2, e - before(es, k), k == F.size(es) - 1))))
 
-    A mark is a shift (the earlier place's line minus the later's) and the outermost matching lines along it.
-    """
-    prints = winnowed(lines, gram, window)
-    firsts = prints.groupBy("f").agg(F.min(F.struct("d", "h", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # Written, so the join reads two plain shuffles and the places of a very common fingerprint can be split.
-    pairs = prints.join(cut(firsts, "firsts"), "f").where(F.struct("d", "h", "pos") > F.col("first"))
-    pairs = pairs.select("d", "h", F.col("first.d").alias("d0"), F.col("first.h").alias("h0"), F.struct((F.col("first.pos") - F.col("pos")).alias("shift"), "pos").alias("hit"))
-    return pairs.groupBy("d", "h", "d0", "h0").agg(F.array_sort(F.collect_list("hit")).alias("hits")).select("d", "h", "d0", "h0", _marks().alias("marks"))
 
+def line_hashes(text: Column, words: int = WORDS) -> Column:
+    """array<struct<x, l>>: the 32-bit hash of each line; the 64-bit one of those that are a long word, else null."""
+    own = lambda hs, first, n, _: F.struct(F.hash(F.slice(hs, first, n)).alias("x"), F.when(_odd(F.get(hs, first - 1)), F.get(hs, first - 1)).alias("l"))
+    return let(_wide(text), lambda wide: F.flatten(F.transform(_sentences(text), lambda s: _by_line(s, wide, words, own))))
 
-def _marks() -> Column:
-    """The sorted ``hits`` as array<struct<shift, low, high>>: first and last matching line of each shift."""
-    none = F.array().cast("array<struct<shift:int,low:int,high:int>>")
-    mark = lambda s: F.array(F.struct(s["shift"].alias("shift"), s["low"].alias("low"), s["high"].alias("high")))
-    done = lambda s: F.when(s["low"] >= 0, F.concat(s["out"], mark(s))).otherwise(s["out"])
 
-    def step(s: Column, x: Column) -> Column:
-        same = (s["low"] >= 0) & (s["shift"] == x["shift"])
-        return F.struct(x["shift"].alias("shift"), F.when(same, s["low"]).otherwise(x["pos"]).alias("low"), x["pos"].alias("high"), F.when(same, s["out"]).otherwise(done(s)).alias("out"))
+def lines_of(text: Column, words: int = WORDS) -> Column:
+    """The lines themselves, array<string>; joined they are the text."""
+    pieces = lambda wide, s: F.when(wide, F.split(s, "")).otherwise(F.split(s, rf"(?<=[ \t])(?<![{ENDS}] \z)"))
+    of = lambda wide, s: let(pieces(wide, s["whole"]), lambda xs: _by_line(s["bare"], wide, words, lambda hs, first, n, last: F.array_join(F.slice(xs, first, F.when(last, F.size(xs)).otherwise(n)), "")))
+    return let(_wide(text), lambda wide: F.flatten(F.transform(F.arrays_zip(_sentences(text).alias("bare"), F.split(text, CUTS).alias("whole")), lambda s: of(wide, s))))
 
-    return F.aggregate("hits", F.struct(F.lit(0).alias("shift"), F.lit(-1).alias("low"), F.lit(-1).alias("high"), none.alias("out")), step, done)
 
+def _key(docs: DataFrame, unique: bool) -> list[Column]:
+    """d, h: what tells documents apart; h is the text's hash, or 0 where doc_id does it alone (fewer bytes to move)."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), (F.lit(0).cast("long") if unique else F.xxhash64(text_or_empty())).alias("h")]
 
-SPANS = "array<struct<a:int,b:int>>"
 
+def ids_of(docs: DataFrame) -> tuple[bool, bool]:
+    """Whether ids don't repeat, and whether they are small enough to share a number with a line."""
+    ids = docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d")).count()
+    most, low, high = ids.agg(F.max("count"), F.min("d"), F.max("d")).first()
+    return (most or 1) == 1, (low or 0) >= 0 and (high or 0) < 1 << 63 - LINE_BITS
 
-def _across(gram: int) -> Column:
-    """The part of the earlier text's lines that lies across from what is looked at, and its first line's number."""
-    ends = F.aggregate("marks", F.struct(F.lit((1 << 31) - 1).alias("a"), F.lit(0).alias("b")), lambda s, m: F.struct(F.least(s["a"], m["low"] + m["shift"] - REACH).alias("a"), F.greatest(s["b"], m["high"] + m["shift"] + gram + REACH).alias("b")))
-    part = lambda e: F.struct(F.greatest(e["a"], F.lit(0)).alias("first"), F.slice("hashes", F.greatest(e["a"], F.lit(0)) + 1, e["b"] - F.greatest(e["a"], F.lit(0))).alias("lines"))
-    return let(ends, part)
 
+def hashed_lines(docs: DataFrame, unique: bool, words: int) -> tuple[DataFrame, int]:
+    """d, h, lines as ``line_hashes`` returns them: a row for each distinct (doc_id, text); and the most lines of a text."""
+    rows = docs.select(*_key(docs, unique), line_hashes(text_or_empty(), words).alias("lines"))
+    seen = Observation()
+    rows = rows if unique else rows.groupBy("d", "h").agg(F.any_value("lines").alias("lines"))
+    rows = cut(rows.observe(seen, F.max(F.size("lines")).alias("most")), "lines")
+    return rows, seen.get["most"] or 0
 
-def _runs(mark: Column, gram: int) -> Column:
-    """First and last line of the runs that are equal in both texts along a mark's shift, around its matches."""
 
-    def step(s: Column, same: Column) -> Column:
-        ends = ~same & (s["a"] >= 0) & ((s["i"] - s["a"] >= gram) | s["long"])
-        return F.struct(
-            (s["i"] + 1).alias("i"),
-            F.when(~same, -1).when(s["a"] < 0, s["i"]).otherwise(s["a"]).alias("a"),
-            (same & (s["long"] | F.get("long", s["i"]))).alias("long"),
-            F.when(ends, F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), (s["i"] - 1).alias("b"))))).otherwise(s["out"]).alias("out"),
-        )
+def winnowed(lines: DataFrame, gram: int, window: int, packed: bool) -> DataFrame:
+    """f, place, beside: fingerprints, the rightmost of equal minima (even) and long words (odd), and where they are.
+
+    A place is the struct (d, h, line), or one number in the same order.  ``beside`` holds 16 bits each of two lines on
+    each side, nearest first; where there is none, bits of the document's own.
+    """
+    most = (1 << LINE_BITS) - 1
+    rows = lines.select("d", "h", F.col("lines.x").alias("hashes"), F.col("lines.l").alias("long"))
+    n = F.greatest(F.size("hashes") - (gram - 1), F.lit(0))
+    grams = F.transform(F.slice("hashes", F.lit(1), n), lambda x, i: F.xxhash64(x, *(F.get("hashes", i + j) for j in range(1, gram))).bitwiseAND(F.lit(-2)))
+    # The gram's number in the low bits tells minima apart and finds them again.
+    keyed = F.transform("grams", lambda g, i: g.bitwiseAND(F.lit(~most)).bitwiseOR((F.lit(most) - i).cast("long")))
+    least = lambda ks: F.array_distinct(F.transform(F.slice(ks, F.lit(1), F.greatest(F.size(ks) - (window - 1), F.least(F.size(ks), F.lit(1)))), lambda k, i: F.array_min(F.slice(ks, i + 1, F.lit(window)))))
+    bits = lambda at, side: F.coalesce(F.get("hashes", at), F.hash("d", "h", F.lit(side))).cast("long").bitwiseAND(F.lit(0xFFFF))
+    beside = lambda p, size: reduce(lambda x, b: F.shiftleft(x, 16).bitwiseOR(b), [bits(p - 1, 0), bits(p - 2, 1), bits(p + size, 2), bits(p + size + 1, 3)])
+    found = lambda p, f, size: F.struct(p.alias("line"), f.alias("f"), beside(p, size).alias("beside"))
+    rows = rows.select("*", grams.alias("grams")).select("*", let(keyed, least).alias("least"))
+    minima = F.transform("least", lambda k: let((F.lit(most) - k.bitwiseAND(F.lit(most))).cast("int"), lambda p: found(p, F.get("grams", p), gram)))
+    alone = F.filter(F.transform("long", lambda f, p: F.when(f.isNotNull(), found(p, f, 1))), lambda x: x.isNotNull())
+    rows = rows.select("d", "h", F.explode(F.concat(minima, alone)).alias("p"))
+    place = F.shiftleft("d", LINE_BITS).bitwiseOR(F.col("p.line").cast("long")) if packed else F.struct("d", "h", F.col("p.line").alias("line"))
+    return rows.select(F.col("p.f").alias("f"), place.alias("place"), F.col("p.beside").alias("beside"))
 
-    def walk(at: Column) -> Column:
-        lines = F.slice("hashes", at["start"] + 1, mark["high"] + gram + REACH - at["start"])
-        same = F.transform(lines, lambda x, i: F.coalesce(x == F.get("across.lines", at["base"] + i), F.lit(False)))
-        begin = F.struct(at["start"].alias("i"), F.lit(-1).alias("a"), F.lit(False).alias("long"), F.array().cast(SPANS).alias("out"))
-        return F.aggregate(F.concat(same, F.array(F.lit(False))), begin, step, lambda s: s["out"])
 
-    start = F.greatest(mark["low"] - REACH, F.lit(0))
-    return let(F.struct(start.alias("start"), (start + mark["shift"] - F.col("across.first")).alias("base")), walk)
+SPANS = "array<struct<a:int,b:int>>"
 
 
 def _merged() -> Column:
@@ -149,26 +153,39 @@ def _merged() -> Column:
     return F.aggregate("runs", F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.array().cast(SPANS).alias("out")), step, done)
 
 
-def repeats(docs: DataFrame, unique: bool, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeats(docs: DataFrame, unique: bool, small: bool, words: int = WORDS, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """d, h, spans array<struct<a, b>>: first and last line of each stretch of lines that are later repeats, of any length."""
-    lines = hashed_lines(docs, unique, least_chars)
-    pairs = matches(lines, gram, window)
-    earlier = lines.select(F.col("d").alias("d0"), F.col("h").alias("h0"), "hashes")
-    pairs = pairs.join(earlier, ["d0", "h0"]).select("d", "h", "marks", _across(gram).alias("across"))
-    pairs = pairs.join(lines, ["d", "h"]).select("d", "h", F.flatten(F.transform("marks", lambda m: _runs(m, gram))).alias("found"))
-    whole = pairs.groupBy("d", "h").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("runs")).where(F.size("runs") > 0)
-    return whole.select("d", "h", _merged().alias("spans"))
-
-
-def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
+    if not 1 <= window <= min(gram, 3):
+        raise ValueError("the window must be at most the gram, and 3")
+    lines, most = hashed_lines(docs, unique, words)
+    packed = unique and small and most < 1 << LINE_BITS
+    prints = winnowed(lines, gram, window, packed)
+    firsts = prints.groupBy("f").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that joins read two plain shuffles and the places of a very common fingerprint can be split.
+    same = cut(prints.join(cut(firsts, "firsts"), "f"), "same")
+    first = same.where("place = first").select("f", F.col("beside").alias("beside0"))
+    hits = same.where("place > first").join(first, "f")
+    differ = F.col("beside").bitwiseXOR(F.col("beside0"))
+    equal = lambda k: F.shiftrightunsigned(differ, 16 * k).bitwiseAND(F.lit(0xFFFF)) == 0
+    reach = lambda near, far: F.when(~near | F.lit(window < 2), 0).when(~far | F.lit(window < 3), 1).otherwise(2)
+    line = F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int") if packed else F.col("place.line")
+    d, h = (F.shiftright("place", LINE_BITS), F.lit(0).cast("long")) if packed else (F.col("place.d"), F.col("place.h"))
+    runs = hits.select(d.alias("d"), h.alias("h"), F.struct((line - reach(equal(3), equal(2))).alias("a"), (line + F.when(_odd(F.col("f")), 0).otherwise(gram - 1) + reach(equal(1), equal(0))).alias("b")).alias("run"))
+    return runs.groupBy("d", "h").agg(F.sort_array(F.collect_list("run")).alias("runs")).select("d", "h", _merged().alias("spans"))
+
+
+def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Each row of ``docs`` (a struct of all but text), ``gone`` (the deleted stretches, null without any), and the text that is left."""
-    unique = unique_ids(docs)
-    found = repeats(docs, unique, gram, window, least_chars)
+    unique, small = ids_of(docs)
+    found = repeats(docs, unique, small, words, gram, window)
     rows = docs.select(whole_row(docs, but=["text"]), *_key(docs, unique), docs["text"].cast("string").alias("text")).join(found, ["d", "h"], "left")
     size = lambda lines, g: F.aggregate(F.slice(lines, g["a"] + 1, g["b"] - g["a"] + 1), F.lit(0), lambda n, x: n + F.length(x))
-    kept = lambda lines, gone: F.filter(lines, lambda x, i: ~F.exists(gone, lambda g: (g["a"] <= i) & (i <= g["b"])))
-    edited = lambda lines: let(F.filter("spans", lambda g: size(lines, g) >= least_chars), lambda gone: F.when(F.size(gone) > 0, F.struct(gone.alias("gone"), F.array_join(kept(lines, gone), "").alias("left"))))
-    rows = rows.select(ROW, "text", F.when(F.col("spans").isNotNull(), let(lines_of(F.col("text")), edited)).alias("edited"))
+    # What is left lies before the first stretch, between each two, and after the last.
+    after = lambda gone, k: F.coalesce(F.get(gone, k - 1)["b"], F.lit(-1)) + 1
+    part = lambda lines, gone, k: F.array_join(F.slice(lines, after(gone, k) + 1, F.coalesce(F.get(gone, k)["a"], F.size(lines)) - after(gone, k)), "")
+    left = lambda lines, gone: F.array_join(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: part(lines, gone, k)), "")
+    edited = lambda lines: let(F.filter("spans", lambda g: size(lines, g) >= least_chars), lambda gone: F.when(F.size(gone) > 0, F.struct(gone.alias("gone"), left(lines, gone).alias("left"))))
+    rows = rows.select(ROW, "text", F.when(F.col("spans").isNotNull(), let(lines_of(F.col("text"), words), edited)).alias("edited"))
     return rows.select(ROW, F.col("edited.gone").alias("gone"), F.when(F.col("edited").isNull(), F.col("text")).otherwise(F.col("edited.left")).alias("left"))
 
 
