@@ -12,8 +12,7 @@ repeated run everything is found but at most window - 1 lines at an end, where t
 another text that goes on otherwise.  Stretches of repeats of at least ``least_chars`` characters are deleted.  The first
 place of a fingerprint is never deleted on its account, so one copy of each passage stays.
 
-What a match is extended by are 16 bits of each neighbouring line, which travel with the fingerprint: of 65,536 ends of
-runs about two lose a line too many.
+Places in other texts are never visited for that: the hashes (32 bits) of the lines around travel with a fingerprint.
 
 Edge cases: a null text is the empty one; an empty text stays.  A null doc_id comes first.  Rows that repeat both
 doc_id and text are one document: they aren't deleted against each other and each gets the same result.  Texts
@@ -24,7 +23,6 @@ one text count, too.  An empty table gives an empty result.  Other columns are k
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +33,7 @@ from .common import ROW, cut, let, table, text_or_empty, whole_row
 ENDS = ".!?"
 CUTS = rf"(?<=\n)|(?<=[{ENDS}] )"
 #: One word in so many ends a line within a sentence (characters: three times as many).
-WORDS = 8
+WORDS = 5
 #: Lines of a gram, grams of a window, characters of a stretch that is deleted, bytes of a word that is a line of its own.
 GRAM, WINDOW, LEAST_CHARS, LONG = 3, 3, 100, 100
 NO_ID = -(1 << 63)
@@ -112,27 +110,29 @@ def hashed_lines(docs: DataFrame, unique: bool, words: int) -> tuple[DataFrame,
 
 
 def winnowed(lines: DataFrame, gram: int, window: int, packed: bool) -> DataFrame:
-    """f, place, beside: fingerprints, the rightmost of equal minima (even) and long words (odd), and where they are.
+    """f, place, near, far: fingerprints, the rightmost of equal minima (even) and long words (odd), and where they are.
 
-    A place is the struct (d, h, line), or one number in the same order.  ``beside`` holds 16 bits each of two lines on
-    each side, nearest first; where there is none, bits of the document's own.
+    A place is the struct (d, h, line), or one number in the same order.  ``near`` and ``far`` hold the hashes of the
+    lines next and next but one to the fingerprint's, the earlier in the high bits; where there is none, the document's own.
     """
-    most = (1 << LINE_BITS) - 1
-    rows = lines.select("d", "h", F.col("lines.x").alias("hashes"), F.col("lines.l").alias("long"))
-    n = F.greatest(F.size("hashes") - (gram - 1), F.lit(0))
-    grams = F.transform(F.slice("hashes", F.lit(1), n), lambda x, i: F.xxhash64(x, *(F.get("hashes", i + j) for j in range(1, gram))).bitwiseAND(F.lit(-2)))
+    most, half = (1 << LINE_BITS) - 1, (1 << 32) - 1
+
+    def found(hs: Column, p: Column, f: Column, size: int) -> Column:
+        hash_of = lambda at, side: F.coalesce(F.get(hs, at), F.hash("d", "h", F.lit(side))).cast("long")
+        both = lambda n: F.shiftleft(hash_of(p - n, -n), 32).bitwiseOR(hash_of(p + size - 1 + n, n).bitwiseAND(F.lit(half)))
+        return F.struct(p.alias("line"), f.alias("f"), both(1).alias("near"), both(2).alias("far"))
+
+    # All arrays are bound by ``let``: a column's expression would be worked out anew for each element.
+    grams = lambda hs: F.transform(F.slice(hs, F.lit(1), F.greatest(F.size(hs) - (gram - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(hs, i + j) for j in range(1, gram))).bitwiseAND(F.lit(-2)))
     # The gram's number in the low bits tells minima apart and finds them again.
-    keyed = F.transform("grams", lambda g, i: g.bitwiseAND(F.lit(~most)).bitwiseOR((F.lit(most) - i).cast("long")))
+    keyed = lambda gs: F.transform(gs, lambda g, i: g.bitwiseAND(F.lit(~most)).bitwiseOR((F.lit(most) - i).cast("long")))
     least = lambda ks: F.array_distinct(F.transform(F.slice(ks, F.lit(1), F.greatest(F.size(ks) - (window - 1), F.least(F.size(ks), F.lit(1)))), lambda k, i: F.array_min(F.slice(ks, i + 1, F.lit(window)))))
-    bits = lambda at, side: F.coalesce(F.get("hashes", at), F.hash("d", "h", F.lit(side))).cast("long").bitwiseAND(F.lit(0xFFFF))
-    beside = lambda p, size: reduce(lambda x, b: F.shiftleft(x, 16).bitwiseOR(b), [bits(p - 1, 0), bits(p - 2, 1), bits(p + size, 2), bits(p + size + 1, 3)])
-    found = lambda p, f, size: F.struct(p.alias("line"), f.alias("f"), beside(p, size).alias("beside"))
-    rows = rows.select("*", grams.alias("grams")).select("*", let(keyed, least).alias("least"))
-    minima = F.transform("least", lambda k: let((F.lit(most) - k.bitwiseAND(F.lit(most))).cast("int"), lambda p: found(p, F.get("grams", p), gram)))
-    alone = F.filter(F.transform("long", lambda f, p: F.when(f.isNotNull(), found(p, f, 1))), lambda x: x.isNotNull())
-    rows = rows.select("d", "h", F.explode(F.concat(minima, alone)).alias("p"))
+    minima = lambda hs, gs, ks: F.transform(ks, lambda k: let((F.lit(most) - k.bitwiseAND(F.lit(most))).cast("int"), lambda p: found(hs, p, F.get(gs, p), gram)))
+    alone = lambda hs: F.transform(F.filter(F.transform("lines.l", lambda f, p: F.struct(f.alias("f"), p.alias("p"))), lambda x: x["f"].isNotNull()), lambda x: found(hs, x["p"], x["f"], 1))
+    prints = let(F.col("lines.x"), lambda hs: F.concat(let(grams(hs), lambda gs: let(let(keyed(gs), least), lambda ks: minima(hs, gs, ks))), alone(hs)))
+    rows = lines.select("d", "h", F.explode(prints).alias("p"))
     place = F.shiftleft("d", LINE_BITS).bitwiseOR(F.col("p.line").cast("long")) if packed else F.struct("d", "h", F.col("p.line").alias("line"))
-    return rows.select(F.col("p.f").alias("f"), place.alias("place"), F.col("p.beside").alias("beside"))
+    return rows.select(F.col("p.f").alias("f"), place.alias("place"), F.col("p.near").alias("near"), F.col("p.far").alias("far"))
 
 
 SPANS = "array<struct<a:int,b:int>>"
@@ -163,14 +163,15 @@ def repeats(docs: DataFrame, unique: bool, small: bool, words: int = WORDS, gram
     firsts = prints.groupBy("f").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Written, so that joins read two plain shuffles and the places of a very common fingerprint can be split.
     same = cut(prints.join(cut(firsts, "firsts"), "f"), "same")
-    first = same.where("place = first").select("f", F.col("beside").alias("beside0"))
+    first = same.where("place = first").select("f", F.col("near").alias("near0"), F.col("far").alias("far0"))
     hits = same.where("place > first").join(first, "f")
-    differ = F.col("beside").bitwiseXOR(F.col("beside0"))
-    equal = lambda k: F.shiftrightunsigned(differ, 16 * k).bitwiseAND(F.lit(0xFFFF)) == 0
-    reach = lambda near, far: F.when(~near | F.lit(window < 2), 0).when(~far | F.lit(window < 3), 1).otherwise(2)
+    differ = {n: F.col(n).bitwiseXOR(F.col(f"{n}0")) for n in ("near", "far")}
+    before = lambda n: F.shiftrightunsigned(differ[n], 32) == 0
+    behind = lambda n: differ[n].bitwiseAND(F.lit((1 << 32) - 1)) == 0
+    reach = lambda side: F.when(~side("near") | F.lit(window < 2), 0).when(~side("far") | F.lit(window < 3), 1).otherwise(2)
     line = F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int") if packed else F.col("place.line")
     d, h = (F.shiftright("place", LINE_BITS), F.lit(0).cast("long")) if packed else (F.col("place.d"), F.col("place.h"))
-    runs = hits.select(d.alias("d"), h.alias("h"), F.struct((line - reach(equal(3), equal(2))).alias("a"), (line + F.when(_odd(F.col("f")), 0).otherwise(gram - 1) + reach(equal(1), equal(0))).alias("b")).alias("run"))
+    runs = hits.select(d.alias("d"), h.alias("h"), F.struct((line - reach(before)).alias("a"), (line + F.when(_odd(F.col("f")), 0).otherwise(gram - 1) + reach(behind)).alias("b")).alias("run"))
     return runs.groupBy("d", "h").agg(F.sort_array(F.collect_list("run")).alias("runs")).select("d", "h", _merged().alias("spans"))
 
 
