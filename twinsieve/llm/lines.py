@@ -33,7 +33,7 @@ from .common import ROW, cut, let, table, text_or_empty, whole_row
 ENDS = ".!?"
 CUTS = rf"(?<=\n)|(?<=[{ENDS}] )"
 #: One word in so many ends a line within a sentence (characters: three times as many).
-WORDS = 5
+WORDS = 8
 #: Lines of a gram, grams of a window, characters of a stretch that is deleted, bytes of a word that is a line of its own.
 GRAM, WINDOW, LEAST_CHARS, LONG = 3, 3, 100, 100
 NO_ID = -(1 << 63)
@@ -76,16 +76,22 @@ def _by_line(sentence: Column, wide: Column, words: int, line: Callable[[Column,
 
 
 def line_hashes(text: Column, words: int = WORDS) -> Column:
-    """array<struct<x, l>>: the 32-bit hash of each line; the 64-bit one of those that are a long word, else null."""
-    own = lambda hs, first, n, _: F.struct(F.hash(F.slice(hs, first, n)).alias("x"), F.when(_odd(F.get(hs, first - 1)), F.get(hs, first - 1)).alias("l"))
-    return let(_wide(text), lambda wide: F.flatten(F.transform(_sentences(text), lambda s: _by_line(s, wide, words, own))))
+    """array<struct<x, l, n>>: the 32-bit hash of each line; the 64-bit one of those that are a long word, else null; its characters."""
+
+    def of(wide: Column, s: Column, final: Column) -> Column:
+        # A blank or line end follows each line but the text's last (of characters, each sentence's last).
+        ends = lambda last: F.when(F.when(wide, ~last | final).otherwise(last & final), 0).otherwise(1)
+        chars = lambda ws, first, n: F.when(wide, n).otherwise(F.length(F.array_join(F.slice(ws, first, n), " ")))
+        own = lambda ws: lambda hs, first, n, last: F.struct(F.hash(F.slice(hs, first, n)).alias("x"), F.when(_odd(F.get(hs, first - 1)), F.get(hs, first - 1)).alias("l"), (chars(ws, first, n) + ends(last)).alias("n"))
+        return let(F.split(s, " "), lambda ws: _by_line(s, wide, words, own(ws)))
+
+    return let(_wide(text), lambda wide: let(_sentences(text), lambda ss: F.flatten(F.transform(ss, lambda s, i: of(wide, s, i == F.size(ss) - 1)))))
 
 
 def lines_of(text: Column, words: int = WORDS) -> Column:
     """The lines themselves, array<string>; joined they are the text."""
-    pieces = lambda wide, s: F.when(wide, F.split(s, "")).otherwise(F.split(s, rf"(?<=[ \t])(?<![{ENDS}] \z)"))
-    of = lambda wide, s: let(pieces(wide, s["whole"]), lambda xs: _by_line(s["bare"], wide, words, lambda hs, first, n, last: F.array_join(F.slice(xs, first, F.when(last, F.size(xs)).otherwise(n)), "")))
-    return let(_wide(text), lambda wide: F.flatten(F.transform(F.arrays_zip(_sentences(text).alias("bare"), F.split(text, CUTS).alias("whole")), lambda s: of(wide, s))))
+    ends = lambda xs: F.aggregate(xs, F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out")), lambda s, x: F.struct((s["at"] + x["n"]).alias("at"), F.concat(s["out"], F.array(F.substring(text, s["at"], x["n"]))).alias("out")), lambda s: s["out"])
+    return ends(line_hashes(text, words))
 
 
 def _key(docs: DataFrame, unique: bool) -> list[Column]:
@@ -153,8 +159,23 @@ def _merged() -> Column:
     return F.aggregate("runs", F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.array().cast(SPANS).alias("out")), step, done)
 
 
-def repeats(docs: DataFrame, unique: bool, small: bool, words: int = WORDS, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """d, h, spans array<struct<a, b>>: first and last line of each stretch of lines that are later repeats, of any length."""
+def _sized(least_chars: int) -> Column:
+    """Of ``spans`` those of enough characters, array<struct<a, b, from, to>>, with the characters before and at their ends."""
+    chars = lambda first, n: F.aggregate(F.slice("sizes", first + 1, n), F.lit(0), lambda m, x: m + x)
+    wider = "array<struct<a:int,b:int,from:int,to:int>>"
+
+    def step(s: Column, g: Column) -> Column:
+        start = s["at"] + chars(s["next"], g["a"] - s["next"])
+        return let(F.struct(start.alias("from"), (start + chars(g["a"], g["b"] - g["a"] + 1)).alias("to")), lambda x: F.struct(
+            (g["b"] + 1).alias("next"), x["to"].alias("at"),
+            F.when(x["to"] - x["from"] >= least_chars, F.concat(s["out"], F.array(F.struct(g["a"].alias("a"), g["b"].alias("b"), x["from"].alias("from"), x["to"].alias("to"))))).otherwise(s["out"]).alias("out"),
+        ))
+
+    return F.aggregate("spans", F.struct(F.lit(0).alias("next"), F.lit(0).alias("at"), F.array().cast(wider).alias("out")), step, lambda s: s["out"])
+
+
+def repeats(docs: DataFrame, unique: bool, small: bool, words: int = WORDS, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """d, h, gone array<struct<a, b, from, to>>: first and last line of each stretch of lines that are later repeats, and its characters."""
     if not 1 <= window <= min(gram, 3):
         raise ValueError("the window must be at most the gram, and 3")
     lines, most = hashed_lines(docs, unique, words)
@@ -172,22 +193,20 @@ def repeats(docs: DataFrame, unique: bool, small: bool, words: int = WORDS, gram
     line = F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int") if packed else F.col("place.line")
     d, h = (F.shiftright("place", LINE_BITS), F.lit(0).cast("long")) if packed else (F.col("place.d"), F.col("place.h"))
     runs = hits.select(d.alias("d"), h.alias("h"), F.struct((line - reach(before)).alias("a"), (line + F.when(_odd(F.col("f")), 0).otherwise(gram - 1) + reach(behind)).alias("b")).alias("run"))
-    return runs.groupBy("d", "h").agg(F.sort_array(F.collect_list("run")).alias("runs")).select("d", "h", _merged().alias("spans"))
+    spans = runs.groupBy("d", "h").agg(F.sort_array(F.collect_list("run")).alias("runs")).select("d", "h", _merged().alias("spans"))
+    spans = spans.join(lines.select("d", "h", F.col("lines.n").alias("sizes")), ["d", "h"])
+    return spans.select("d", "h", _sized(least_chars).alias("gone")).where(F.size("gone") > 0)
 
 
 def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Each row of ``docs`` (a struct of all but text), ``gone`` (the deleted stretches, null without any), and the text that is left."""
     unique, small = ids_of(docs)
-    found = repeats(docs, unique, small, words, gram, window)
+    found = repeats(docs, unique, small, words, gram, window, least_chars)
     rows = docs.select(whole_row(docs, but=["text"]), *_key(docs, unique), docs["text"].cast("string").alias("text")).join(found, ["d", "h"], "left")
-    size = lambda lines, g: F.aggregate(F.slice(lines, g["a"] + 1, g["b"] - g["a"] + 1), F.lit(0), lambda n, x: n + F.length(x))
     # What is left lies before the first stretch, between each two, and after the last.
-    after = lambda gone, k: F.coalesce(F.get(gone, k - 1)["b"], F.lit(-1)) + 1
-    part = lambda lines, gone, k: F.array_join(F.slice(lines, after(gone, k) + 1, F.coalesce(F.get(gone, k)["a"], F.size(lines)) - after(gone, k)), "")
-    left = lambda lines, gone: F.array_join(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: part(lines, gone, k)), "")
-    edited = lambda lines: let(F.filter("spans", lambda g: size(lines, g) >= least_chars), lambda gone: F.when(F.size(gone) > 0, F.struct(gone.alias("gone"), left(lines, gone).alias("left"))))
-    rows = rows.select(ROW, "text", F.when(F.col("spans").isNotNull(), let(lines_of(F.col("text"), words), edited)).alias("edited"))
-    return rows.select(ROW, F.col("edited.gone").alias("gone"), F.when(F.col("edited").isNull(), F.col("text")).otherwise(F.col("edited.left")).alias("left"))
+    after = lambda k: F.coalesce(F.get("gone", k - 1)["to"], F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.substring("text", after(k) + 1, F.coalesce(F.get("gone", k)["from"], F.length("text")) - after(k)))
+    return rows.select(ROW, "gone", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(parts, "")).alias("left"))
 
 
 def without_repeats(docs: DataFrame, **how: int) -> DataFrame:
