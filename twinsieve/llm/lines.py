@@ -2,9 +2,10 @@
 
 A text's lines are cut at line ends and after sentences and, so that a passage within a long line is seen too, by
 content: after each word whose hash is divisible by ``words``, the same words wherever the passage begins (texts without
-blanks, such as Chinese ones, count characters instead), and around words of 100 bytes or more.  Lines are hashed in
-lower case.  Of every ``window`` consecutive hashes of ``gram`` lines the smallest is a fingerprint, so any repeated run of
-window + gram - 1 lines has one in common with its other place; a long word is always one.  Each fingerprint's places are joined to its first
+blanks, such as Chinese ones, count characters instead).  Lines are hashed in lower
+case.  Of every ``window`` consecutive hashes of ``gram`` lines the smallest is a fingerprint, so any repeated run of
+window + gram - 1 lines has one in common with its other place; a line of
+``least_chars`` characters is always one.  Each fingerprint's places are joined to its first
 place in order of (doc_id, text hash, line), never to each other, and a match is extended both ways while lines are
 equal.  It need not look farther than window - 1 lines: there the run's next fingerprint is due, which has a match of
 its own.  As the window is no longer than the gram, the fingerprints of a run leave no line between them; so of a
@@ -32,10 +33,10 @@ from .common import ROW, cut, let, table, text_or_empty, whole_row
 #: What a sentence may end with before a blank.
 ENDS = ".!?"
 CUTS = rf"(?<=\n)|(?<=[{ENDS}] )"
-#: One word in so many ends a line within a sentence (characters: three times as many).
+#: One word in so many ends a line within a sentence (characters: four times as many); a power of two.
 WORDS = 8
-#: Lines of a gram, grams of a window, characters of a stretch that is deleted, bytes of a word that is a line of its own.
-GRAM, WINDOW, LEAST_CHARS, LONG = 3, 3, 100, 100
+#: Lines of a gram, grams of a window, characters of a stretch that is deleted and of a line that is always a fingerprint.
+GRAM, WINDOW, LEAST_CHARS = 3, 3, 100
 NO_ID = -(1 << 63)
 #: Bits of a place that tell the line; ids of fewer than 63 - LINE_BITS bits and a line fit into one number.
 LINE_BITS = 27
@@ -58,32 +59,27 @@ def _odd(h: Column) -> Column:
     return h.bitwiseAND(F.lit(1)) == 1
 
 
-def _words(sentence: Column, wide: Column) -> Column:
-    """Hashes of a sentence's words; those of long words are odd, the others even."""
-    return F.transform(F.when(wide, F.split(sentence, "")).otherwise(F.split(sentence, " ")), lambda w: F.when(F.octet_length(w) >= LONG, F.xxhash64(w).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(w).bitwiseAND(F.lit(-2))))
-
-
-def _ends(hashes: Column, words: Column) -> Column:
+def _ends(hashes: Column, mask: Column) -> Column:
     """Where lines end: the places of their last words."""
-    return F.filter(F.transform(hashes, lambda h, i: F.when((F.pmod(h, 2 * words) == 0) | _odd(h) | _odd(F.get(hashes, i + 1)) | (i == F.size(hashes) - 1), i)), lambda i: i.isNotNull())
-
-
-def _by_line(sentence: Column, wide: Column, words: int, line: Callable[[Column, Column, Column, Column], Column]) -> Column:
-    """``line(hashes, first, n, is_last)`` of each line of a sentence, over the hashes of its words."""
-    several = F.when(wide, F.lit(3 * words)).otherwise(F.lit(words)).cast("long")
-    before = lambda es, k: F.coalesce(F.get(es, k - 1), F.lit(-1))
-    return let(_words(sentence, wide), lambda hs: let(_ends(hs, several), lambda es: F.transform(es, lambda e, k: line(hs, before(es, k) + 2, e - before(es, k), k == F.size(es) - 1))))
+    last = F.size(hashes) - 1
+    return F.array_union(F.filter(F.sequence(F.lit(0), last), lambda i: F.get(hashes, i).bitwiseAND(mask) == 0), F.array(last))
 
 
-def line_hashes(text: Column, words: int = WORDS) -> Column:
-    """array<struct<x, l, n>>: the 32-bit hash of each line; the 64-bit one of those that are a long word, else null; its characters."""
+def line_hashes(text: Column, words: int = WORDS, least_chars: int = LEAST_CHARS) -> Column:
+    """array<struct<x, l, n>>: the 32-bit hash of each line; an odd 64-bit one of those of enough characters, else null; its characters."""
+    if words & (words - 1):
+        raise ValueError("words must be a power of two")
 
-    def of(wide: Column, s: Column, final: Column) -> Column:
+    def of(wide: Column, sentence: Column, final: Column) -> Column:
         # A blank or line end follows each line but the text's last (of characters, each sentence's last).
         ends = lambda last: F.when(F.when(wide, ~last | final).otherwise(last & final), 0).otherwise(1)
         chars = lambda ws, first, n: F.when(wide, n).otherwise(F.length(F.array_join(F.slice(ws, first, n), " ")))
-        own = lambda ws: lambda hs, first, n, last: F.struct(F.hash(F.slice(hs, first, n)).alias("x"), F.when(_odd(F.get(hs, first - 1)), F.get(hs, first - 1)).alias("l"), (chars(ws, first, n) + ends(last)).alias("n"))
-        return let(F.split(s, " "), lambda ws: _by_line(s, wide, words, own(ws)))
+        row = lambda hs, n: F.struct(F.hash(hs).alias("x"), F.when(n >= least_chars, F.xxhash64(hs).bitwiseOR(F.lit(1))).alias("l"), n.alias("n"))
+        line = lambda ws, hs, first, n, last: let(chars(ws, first, n) + ends(last), lambda m: row(F.slice(hs, first, n), m))
+        before = lambda es, k: F.coalesce(F.get(es, k - 1), F.lit(-1))
+        mask = F.when(wide, F.lit(4 * words - 1)).otherwise(F.lit(words - 1)).cast("long")
+        lines = lambda ws, hs: let(_ends(hs, mask), lambda es: F.transform(es, lambda e, k: line(ws, hs, before(es, k) + 2, e - before(es, k), k == F.size(es) - 1)))
+        return let(F.when(wide, F.split(sentence, "")).otherwise(F.split(sentence, " ")), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: lines(ws, hs)))
 
     return let(_wide(text), lambda wide: let(_sentences(text), lambda ss: F.flatten(F.transform(ss, lambda s, i: of(wide, s, i == F.size(ss) - 1)))))
 
@@ -106,39 +102,40 @@ def ids_of(docs: DataFrame) -> tuple[bool, bool]:
     return (most or 1) == 1, (low or 0) >= 0 and (high or 0) < 1 << 63 - LINE_BITS
 
 
-def hashed_lines(docs: DataFrame, unique: bool, words: int) -> tuple[DataFrame, int]:
+def hashed_lines(docs: DataFrame, unique: bool, words: int, least_chars: int) -> tuple[DataFrame, int]:
     """d, h, lines as ``line_hashes`` returns them: a row for each distinct (doc_id, text); and the most lines of a text."""
-    rows = docs.select(*_key(docs, unique), line_hashes(text_or_empty(), words).alias("lines"))
+    rows = docs.select(*_key(docs, unique), line_hashes(text_or_empty(), words, least_chars).alias("lines"))
     seen = Observation()
     rows = rows if unique else rows.groupBy("d", "h").agg(F.any_value("lines").alias("lines"))
     rows = cut(rows.observe(seen, F.max(F.size("lines")).alias("most")), "lines")
     return rows, seen.get["most"] or 0
 
 
-def winnowed(lines: DataFrame, gram: int, window: int, packed: bool) -> DataFrame:
-    """f, place, near, far: fingerprints, the rightmost of equal minima (even) and long words (odd), and where they are.
+def winnowed(lines: DataFrame, gram: int, window: int, packed: bool, around: bool = True) -> DataFrame:
+    """f, place, near, far: fingerprints, the rightmost of equal minima (even) and long lines (odd), and where they are.
 
-    A place is the struct (d, h, line), or one number in the same order.  ``near`` and ``far`` hold the hashes of the
-    lines next and next but one to the fingerprint's, the earlier in the high bits; where there is none, the document's own.
+    A place is the struct (d, h, line), or one number in the same order.  With ``around``, ``near`` and ``far`` hold the
+    hashes of the lines next and next but one to the fingerprint's, the earlier in the high bits; where there is none,
+    the document's own.
     """
     most, half = (1 << LINE_BITS) - 1, (1 << 32) - 1
 
     def found(hs: Column, p: Column, f: Column, size: int) -> Column:
         hash_of = lambda at, side: F.coalesce(F.get(hs, at), F.hash("d", "h", F.lit(side))).cast("long")
         both = lambda n: F.shiftleft(hash_of(p - n, -n), 32).bitwiseOR(hash_of(p + size - 1 + n, n).bitwiseAND(F.lit(half)))
-        return F.struct(p.alias("line"), f.alias("f"), both(1).alias("near"), both(2).alias("far"))
+        return F.struct(p.alias("line"), f.alias("f"), *([both(1).alias("near"), both(2).alias("far")] if around else []))
 
     # All arrays are bound by ``let``: a column's expression would be worked out anew for each element.
-    grams = lambda hs: F.transform(F.slice(hs, F.lit(1), F.greatest(F.size(hs) - (gram - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(hs, i + j) for j in range(1, gram))).bitwiseAND(F.lit(-2)))
+    gram_at = lambda hs, x, i: F.xxhash64(x, *(F.get(hs, i + j) for j in range(1, gram)))
     # The gram's number in the low bits tells minima apart and finds them again.
-    keyed = lambda gs: F.transform(gs, lambda g, i: g.bitwiseAND(F.lit(~most)).bitwiseOR((F.lit(most) - i).cast("long")))
+    keyed = lambda hs: F.transform(F.slice(hs, F.lit(1), F.greatest(F.size(hs) - (gram - 1), F.lit(0))), lambda x, i: gram_at(hs, x, i).bitwiseAND(F.lit(~most)).bitwiseOR((F.lit(most) - i).cast("long")))
     least = lambda ks: F.array_distinct(F.transform(F.slice(ks, F.lit(1), F.greatest(F.size(ks) - (window - 1), F.least(F.size(ks), F.lit(1)))), lambda k, i: F.array_min(F.slice(ks, i + 1, F.lit(window)))))
-    minima = lambda hs, gs, ks: F.transform(ks, lambda k: let((F.lit(most) - k.bitwiseAND(F.lit(most))).cast("int"), lambda p: found(hs, p, F.get(gs, p), gram)))
+    at = lambda hs, p: found(hs, p, gram_at(hs, F.get(hs, p), p).bitwiseAND(F.lit(-2)), gram)
+    minima = lambda hs: F.transform(let(keyed(hs), least), lambda k: let((F.lit(most) - k.bitwiseAND(F.lit(most))).cast("int"), lambda p: at(hs, p)))
     alone = lambda hs: F.transform(F.filter(F.transform("lines.l", lambda f, p: F.struct(f.alias("f"), p.alias("p"))), lambda x: x["f"].isNotNull()), lambda x: found(hs, x["p"], x["f"], 1))
-    prints = let(F.col("lines.x"), lambda hs: F.concat(let(grams(hs), lambda gs: let(let(keyed(gs), least), lambda ks: minima(hs, gs, ks))), alone(hs)))
-    rows = lines.select("d", "h", F.explode(prints).alias("p"))
+    rows = lines.select("d", "h", F.explode(let(F.col("lines.x"), lambda hs: F.concat(minima(hs), alone(hs)))).alias("p"))
     place = F.shiftleft("d", LINE_BITS).bitwiseOR(F.col("p.line").cast("long")) if packed else F.struct("d", "h", F.col("p.line").alias("line"))
-    return rows.select(F.col("p.f").alias("f"), place.alias("place"), F.col("p.near").alias("near"), F.col("p.far").alias("far"))
+    return rows.select(F.col("p.f").alias("f"), place.alias("place"), *(F.col(f"p.{c}").alias(c) for c in ("near", "far") if around))
 
 
 SPANS = "array<struct<a:int,b:int>>"
@@ -178,10 +175,10 @@ def repeats(docs: DataFrame, unique: bool, small: bool, words: int = WORDS, gram
     """d, h, gone array<struct<a, b, from, to>>: first and last line of each stretch of lines that are later repeats, and its characters."""
     if not 1 <= window <= min(gram, 3):
         raise ValueError("the window must be at most the gram, and 3")
-    lines, most = hashed_lines(docs, unique, words)
+    lines, most = hashed_lines(docs, unique, words, least_chars)
     packed = unique and small and most < 1 << LINE_BITS
     prints = winnowed(lines, gram, window, packed)
-    firsts = prints.groupBy("f").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = winnowed(lines, gram, window, packed, around=False).groupBy("f").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Written, so that joins read two plain shuffles and the places of a very common fingerprint can be split.
     same = cut(prints.join(cut(firsts, "firsts"), "f"), "same")
     first = same.where("place = first").select("f", F.col("near").alias("near0"), F.col("far").alias("far0"))
