@@ -258,24 +258,10 @@ def test_fingerprint_algebra(spark):
 
 
 def cut_lines(text):
-    """(line, its words) of a text: the rule of the docstring, word by word."""
-    out = []
+    """(line, what is compared of it) of a text."""
     wide = len(text.encode()) > 2 * len(text)
-    for sentence in re.split(lines.CUTS, text):
-        whole = re.match(rf"(?s)(.*?)(\n|(?<=[{lines.ENDS}]) |)\Z", sentence)
-        pieces = list(whole[1]) if wide else re.findall(r"[^ \t]*[ \t]|[^ \t]+\Z", whole[1])
-        pieces += [""] if not pieces or (not wide and pieces[-1][-1:] in (" ", "\t")) else []
-        line, words = "", ()
-        for p in pieces:
-            word = p.lower() if wide else p.lower().rstrip(" \t")
-            line, words = line + p, (*words, word)
-            if xxhash.xxh64_intdigest(word.encode(), 42) % (lines.WORDS * (4 if wide else 1)) == 0:
-                out.append((line, words))
-                line, words = "", ()
-        if words:
-            out.append((line, words))
-        out[-1] = (out[-1][0] + whole[2], out[-1][1])
-    return out
+    parts = re.split(rf"(?<=[{lines.MARKS}\n])" if wide else rf"(?i)(?<=\n)|(?<=[{lines.ENDS}][ \t])", text)
+    return [(x, x.lower().replace("\t", " ").removesuffix("\n").strip(" ") if not wide else x.lower().replace("\t", " ").strip(" ")) for x in parts]
 
 
 def brute_lines(rows, gram=lines.GRAM, least=lines.LEAST_CHARS):

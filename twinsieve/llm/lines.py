@@ -1,9 +1,8 @@
 """Line dedup by winnowing over line hashes (operator 4), in SQL functions only.
 
-A text's lines are cut at line ends and after sentences and, so that a passage within a long line is seen too, by
-content: after each word whose hash is divisible by ``words``, the same words wherever the passage begins (texts without
-blanks, such as Chinese ones, count characters instead).  Lines are hashed in lower
-case.  Of every ``window`` consecutive hashes of ``gram`` lines the smallest is a fingerprint, so any repeated run of
+A text's lines are cut at line ends, after sentences and, so that a passage within a long line is seen too, by content:
+after each word that ends in d, l or u, the same words wherever the passage begins (texts without blanks, such as
+Chinese ones, after their punctuation marks).  Lines are hashed in lower case, without blanks around.  Of every ``window`` consecutive hashes of ``gram`` lines the smallest is a fingerprint, so any repeated run of
 window + gram - 1 lines has one in common with its other place; a line of
 ``least_chars`` characters is always one.  Each fingerprint's places are joined to its first
 place in order of (doc_id, text hash, line), never to each other, and a match is extended both ways while lines are
@@ -23,18 +22,15 @@ one text count, too.  An empty table gives an empty result.  Other columns are k
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROW, cut, let, table, text_or_empty, whole_row
 
-#: What a sentence may end with before a blank.
-ENDS = ".!?"
-CUTS = rf"(?<=\n)|(?<=[{ENDS}] )"
-#: One word in so many ends a line within a sentence (characters: four times as many); a power of two.
-WORDS = 8
+#: What a line may end with before a blank: ends of sentences, and letters that end about one word in eight in several languages.
+ENDS = ".!?dlu"
+#: What lines end after in texts without blanks.
+MARKS = "\u3001\u3002\uff0c\uff01\uff1f\uff1b\uff1a"
 #: Lines of a gram, grams of a window, characters of a stretch that is deleted and of a line that is always a fingerprint.
 GRAM, WINDOW, LEAST_CHARS = 3, 3, 100
 NO_ID = -(1 << 63)
@@ -42,52 +38,32 @@ NO_ID = -(1 << 63)
 LINE_BITS = 27
 
 
-def _wide(text: Column) -> Column:
-    """Whether most characters take three bytes or more, as in scripts that mostly do without blanks."""
-    return F.octet_length(text) > 2 * F.length(text)
-
-
-def _sentences(text: Column) -> Column:
-    """The sentences in lower case, without their ends, by plain replacement: cutting at a single character is fast."""
-    bare = F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+def _cut(text: Column, wide: Column) -> Column:
+    """The lines in lower case, without the blank or line end after each (with it, if ``wide``), by plain replacement: cutting at a single character is fast."""
+    bare = F.replace(F.lower(F.replace(text, F.lit("\u0130"), F.lit("i"))), F.lit("\t"), F.lit(" "))
+    marked = bare
     for end in ENDS:
-        bare = F.replace(bare, F.lit(f"{end} "), F.lit(f"{end}\n"))
-    return F.split(F.replace(bare, F.lit("\t"), F.lit(" ")), "\n")
+        marked = F.replace(marked, F.lit(f"{end} "), F.lit(f"{end}\n"))
+    return F.when(wide, F.split(bare, rf"(?<=[{MARKS}\n])")).otherwise(F.split(marked, "\n"))
 
 
 def _odd(h: Column) -> Column:
     return h.bitwiseAND(F.lit(1)) == 1
 
 
-def _ends(hashes: Column, mask: Column) -> Column:
-    """Where lines end: the places of their last words."""
-    last = F.size(hashes) - 1
-    return F.array_union(F.filter(F.sequence(F.lit(0), last), lambda i: F.get(hashes, i).bitwiseAND(mask) == 0), F.array(last))
-
-
-def line_hashes(text: Column, words: int = WORDS, least_chars: int = LEAST_CHARS) -> Column:
+def line_hashes(text: Column, least_chars: int = LEAST_CHARS) -> Column:
     """array<struct<x, l, n>>: the 32-bit hash of each line; an odd 64-bit one of those of enough characters, else null; its characters."""
-    if words & (words - 1):
-        raise ValueError("words must be a power of two")
-
-    def of(wide: Column, sentence: Column, final: Column) -> Column:
-        # A blank or line end follows each line but the text's last (of characters, each sentence's last).
-        ends = lambda last: F.when(F.when(wide, ~last | final).otherwise(last & final), 0).otherwise(1)
-        chars = lambda ws, first, n: F.when(wide, n).otherwise(F.length(F.array_join(F.slice(ws, first, n), " ")))
-        row = lambda hs, n: F.struct(F.hash(hs).alias("x"), F.when(n >= least_chars, F.xxhash64(hs).bitwiseOR(F.lit(1))).alias("l"), n.alias("n"))
-        line = lambda ws, hs, first, n, last: let(chars(ws, first, n) + ends(last), lambda m: row(F.slice(hs, first, n), m))
-        before = lambda es, k: F.coalesce(F.get(es, k - 1), F.lit(-1))
-        mask = F.when(wide, F.lit(4 * words - 1)).otherwise(F.lit(words - 1)).cast("long")
-        lines = lambda ws, hs: let(_ends(hs, mask), lambda es: F.transform(es, lambda e, k: line(ws, hs, before(es, k) + 2, e - before(es, k), k == F.size(es) - 1)))
-        return let(F.when(wide, F.split(sentence, "")).otherwise(F.split(sentence, " ")), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: lines(ws, hs)))
-
-    return let(_wide(text), lambda wide: let(_sentences(text), lambda ss: F.flatten(F.transform(ss, lambda s, i: of(wide, s, i == F.size(ss) - 1)))))
+    # Most characters take three bytes or more in scripts that mostly do without blanks.
+    wide = F.octet_length(text) > 2 * F.length(text)
+    row = lambda x, n: F.struct(F.hash(x).alias("x"), F.when(n >= least_chars, F.xxhash64(x).bitwiseOR(F.lit(1))).alias("l"), n.alias("n"))
+    of = lambda lines, after: F.transform(lines, lambda x, i: row(F.trim(x), F.length(x) + F.when(i < F.size(lines) - 1, after).otherwise(0)))
+    return let(wide, lambda w: let(_cut(text, w), lambda lines: of(lines, F.when(w, 0).otherwise(1))))
 
 
-def lines_of(text: Column, words: int = WORDS) -> Column:
+def lines_of(text: Column) -> Column:
     """The lines themselves, array<string>; joined they are the text."""
     ends = lambda xs: F.aggregate(xs, F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out")), lambda s, x: F.struct((s["at"] + x["n"]).alias("at"), F.concat(s["out"], F.array(F.substring(text, s["at"], x["n"]))).alias("out")), lambda s: s["out"])
-    return ends(line_hashes(text, words))
+    return ends(line_hashes(text))
 
 
 def _key(docs: DataFrame, unique: bool) -> list[Column]:
@@ -102,9 +78,9 @@ def ids_of(docs: DataFrame) -> tuple[bool, bool]:
     return (most or 1) == 1, (low or 0) >= 0 and (high or 0) < 1 << 63 - LINE_BITS
 
 
-def hashed_lines(docs: DataFrame, unique: bool, words: int, least_chars: int) -> tuple[DataFrame, int]:
+def hashed_lines(docs: DataFrame, unique: bool, least_chars: int) -> tuple[DataFrame, int]:
     """d, h, lines as ``line_hashes`` returns them: a row for each distinct (doc_id, text); and the most lines of a text."""
-    rows = docs.select(*_key(docs, unique), line_hashes(text_or_empty(), words, least_chars).alias("lines"))
+    rows = docs.select(*_key(docs, unique), line_hashes(text_or_empty(), least_chars).alias("lines"))
     seen = Observation()
     rows = rows if unique else rows.groupBy("d", "h").agg(F.any_value("lines").alias("lines"))
     rows = cut(rows.observe(seen, F.max(F.size("lines")).alias("most")), "lines")
@@ -171,11 +147,11 @@ def _sized(least_chars: int) -> Column:
     return F.aggregate("spans", F.struct(F.lit(0).alias("next"), F.lit(0).alias("at"), F.array().cast(wider).alias("out")), step, lambda s: s["out"])
 
 
-def repeats(docs: DataFrame, unique: bool, small: bool, words: int = WORDS, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeats(docs: DataFrame, unique: bool, small: bool, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
     """d, h, gone array<struct<a, b, from, to>>: first and last line of each stretch of lines that are later repeats, and its characters."""
     if not 1 <= window <= min(gram, 3):
         raise ValueError("the window must be at most the gram, and 3")
-    lines, most = hashed_lines(docs, unique, words, least_chars)
+    lines, most = hashed_lines(docs, unique, least_chars)
     packed = unique and small and most < 1 << LINE_BITS
     prints = winnowed(lines, gram, window, packed)
     firsts = winnowed(lines, gram, window, packed, around=False).groupBy("f").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -195,10 +171,10 @@ def repeats(docs: DataFrame, unique: bool, small: bool, words: int = WORDS, gram
     return spans.select("d", "h", _sized(least_chars).alias("gone")).where(F.size("gone") > 0)
 
 
-def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Each row of ``docs`` (a struct of all but text), ``gone`` (the deleted stretches, null without any), and the text that is left."""
     unique, small = ids_of(docs)
-    found = repeats(docs, unique, small, words, gram, window, least_chars)
+    found = repeats(docs, unique, small, gram, window, least_chars)
     rows = docs.select(whole_row(docs, but=["text"]), *_key(docs, unique), docs["text"].cast("string").alias("text")).join(found, ["d", "h"], "left")
     # What is left lies before the first stretch, between each two, and after the last.
     after = lambda k: F.coalesce(F.get("gone", k - 1)["to"], F.lit(0))
