@@ -12,10 +12,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one of our own for the application."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and all is one machine (tests), one of our own for the application."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="twinsieve-")
         where = _OWN[app]
