@@ -5,14 +5,16 @@ a candidate.  Its encoding is inferred from its characters (decimal, hex, one-ca
 digits, base64).  Three tests ask whether it is random in that alphabet: chi-squared uniformity, number of runs
 above and below the alphabet's middle, and serial correlation; Fisher's method joins them.  A fourth number asks
 how likely ordinary text would be such a run: by its letter pairs and changes between kinds of characters, against
-equally likely ones (an inverse likelihood ratio bounds the chance), and for letters with digits also by how uniform
+equally likely ones (an inverse likelihood ratio bounds the chance; pairs that repeat more than chance would have it
+count once), and for letters with digits also by how uniform
 it is.  Benjamini-Hochberg over all candidates of a length class turns it into a bound, so the false-discovery rate holds at each length, short ones with little power
 included.  A candidate is a secret if it passes both.  Runs of digits alone can't be told from ordinary numbers: they
 are neither reported nor counted.  Bounds come from counts in fixed bins (at most
 LENGTH_CLASSES x BINS rows); no candidate travels.
 
 Edge cases: a null text is the empty one; empty texts have no spans (digest of the empty string).  Positions are
-code points, ends exclusive.  Repeated rows are scanned each.  Other columns are not looked at.
+code points, ends exclusive.  Texts are scanned whole, however long.  Repeated rows are scanned each.  An empty table
+gives an empty result.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import cut, let, table, text_or_empty
 
 #: Kinds in order, their patterns, the group whose length counts, and the least length.
 BASE = (
@@ -132,8 +134,9 @@ def measured(token: Column, span: Column) -> Column:
             (a["cost"] + F.when(a["last"] < 0, 0).otherwise(_cost(a["last"], _kind(a["last"]), c, _kind(c)))).alias("cost"),
         ),
     )
+    pairs = let(codes, lambda cs: F.size(F.array_distinct(F.transform(cs, lambda c, i: c * 256 + F.coalesce(F.get(cs, i + 1), F.lit(0))))) - 1)
     return F.struct(
-        span["start"].alias("start"), span["stop"].alias("stop"), F.length(token).cast("double").alias("n"),
+        pairs.cast("double").alias("pairs"), span["start"].alias("start"), span["stop"].alias("stop"), F.length(token).cast("double").alias("n"),
         _by_encoding(token, 2).cast("double").alias("m"), _by_encoding(token, 3).alias("k2"), _by_encoding(token, 4).alias("k3"),
         (token.rlike("[0-9]") & token.rlike("[A-Za-z]")).alias("mixed"), squares.cast("double").alias("squares"), walk.alias("walk"),
     )
@@ -160,7 +163,10 @@ def tested(x: Column, least_p: float = LEAST_P) -> Column:
     pairs = n * (n - 1) / 2 * (k2 - k2 * k2) + n * (n - 1) * (n - 2) * (k3 - k2 * k2)
     ordinary = normal((chi - (m * (1 + (n - 1) * k2) - n)) / (m / n * 2 * F.sqrt(pairs)))
     # The encoding is chosen from the characters, so each of them may have been tried.
-    gain = w["cost"] / 2 - (n - 1) * F.log2(m)
+    # A name that repeats a word repeats its pairs; more repeats than chance makes in the alphabet tell nothing new.
+    chance = n - 1 - m * m * (1 - F.pow(1 - 1 / (m * m), n - 1))
+    again = F.greatest(n - 1 - x["pairs"] - chance, F.lit(0.0))
+    gain = w["cost"] / 2 * (1 - again / (n - 1)) - (n - 1) * F.log2(m)
     unlikely = F.least(F.lit(1.0), len(ENCODINGS) * F.pow(F.lit(2.0), -F.least(F.greatest(gain, F.lit(0.0)), F.lit(80.0))))
     # Without both letters and digits a uniform run is as likely as not a word; there the likelihood decides alone.
     either = F.least(F.lit(1.0), F.when(x["mixed"], 2 * F.least(ordinary, unlikely)).otherwise(unlikely))
