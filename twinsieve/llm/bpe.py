@@ -7,7 +7,7 @@ pre-token pattern; a pre-token that is itself a token becomes it at once, any ot
 Decoding maps ids to pieces and pieces to bytes.
 
 Edge cases: a null text counts as the empty one (no ids; digests of the empty string).  Texts are never cut,
-so long ones take long but are whole.  Rows that repeat are encoded each.  Extra columns are not looked at.
+so long ones take long but are whole.  An empty table gives an empty result.  Rows that repeat are encoded each.  Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ class Codec:
         n = self.model.get_piece_size() - 1
         self.pieces = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(n)]
         self.tokens = {t: i for i, t in enumerate(self.pieces)}
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.cache: dict[str, tuple[str, int, bytes, list[int]]] = {}
         self.most = cache
 
     def encode_pretokens(self, pretokens: Iterable[str]) -> list[list[int]]:
@@ -110,8 +110,8 @@ class Codec:
         it = iter(rest)
         return [next(it) if i is None else [i] for i in whole]
 
-    def _known(self, pretokens: list[str]) -> list[tuple[str, int, bytes]]:
-        """For each pre-token its ids as text, their number, and the bytes that the ids decode to."""
+    def known(self, pretokens: list[str]) -> list[tuple[str, int, bytes, list[int]]]:
+        """For each pre-token its ids as text, their number, the bytes that the ids decode to, and the ids."""
         cache = self.cache
         if len(cache) > self.most:
             cache.clear()
@@ -119,13 +119,12 @@ class Codec:
         if None in found:
             new = list({p for p, x in zip(pretokens, found) if x is None})
             for p, ids in zip(new, self.encode_pretokens(new)):
-                cache[p] = (",".join(map(str, ids)), len(ids), self.decode(ids))
+                cache[p] = (",".join(map(str, ids)), len(ids), self.decode(ids), ids)
             found = [x or cache[p] for p, x in zip(pretokens, found)]
         return found
 
     def encode(self, text: str) -> list[int]:
-        found = self._known(self.find(text))
-        return list(map(int, ",".join([x[0] for x in found]).split(","))) if found else []
+        return ids_of(self.known(self.find(text)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         pieces = self.pieces
@@ -133,9 +132,16 @@ class Codec:
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as text, SHA-256 of the decoded bytes (decoding goes piece by piece)."""
-        found = self._known(self.find(text))
-        said, counts, raw = zip(*found) if found else ((), (), ())
-        return sum(counts), hashlib.sha256(",".join(said).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
+        return digests_of(self.known(self.find(text)))
+
+
+def ids_of(found: list[tuple]) -> list[int]:
+    return [i for x in found for i in x[3]]
+
+
+def digests_of(found: list[tuple]) -> tuple[int, str, str]:
+    said, raw = ",".join([x[0] for x in found]), b"".join([x[2] for x in found])
+    return sum([x[1] for x in found]), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
 
 def _codec_of(shared, pattern: str) -> Codec:
@@ -161,12 +167,13 @@ def _mapped(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool) -> D
         gc.freeze()  # nothing here is cyclic; don't walk the cache again and again
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, len(batch), 512)):
-                texts = part.column("text").to_pylist()
-                found = [codec.digests(t) for t in texts]
+                # Each text is cut and looked up once, for digests and ids.
+                both = [(digests_of(x), ids_of(x) if with_ids else None) for x in (codec.known(codec.find(t)) for t in part.column("text").to_pylist())]
+                found = [x for x, _ in both]
                 columns = [part.column("doc_id"), *(pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string())))]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([codec.encode(t) for t in texts], pa.list_(pa.int32())))
+                    columns.append(pa.array([x for _, x in both], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

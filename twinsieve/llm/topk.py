@@ -11,8 +11,9 @@ Shards of rows and blocks of queries are of fixed size, so a task's memory is bo
 block of queries in one task.  The work is queries x rows by the nature of the question.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no part, neither as queries nor
-as candidates; shorter vectors count as padded with zeros.  Of rows with the same vec_id the one with the smallest vector counts.
-Rows whose vec_id is null take no part.  Fewer than k candidates: all of them.  Extra columns are not looked at.
+as candidates; shorter vectors count as padded with zeros.  Of rows that share a vec_id each is a candidate, and each a
+query of its own, but none is a candidate of a query with its id.  Rows whose vec_id is null take no part.  Components
+are whole numbers of 64 bits, and so are scores: beyond that (floats above 2^57) both are cut off.  An empty table gives an empty result.  Fewer than k candidates: all of them.  Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
     x = F.transform("embedding", lambda e: e.cast("double"))
     good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     v = F.transform(x, lambda e: F.floor(e * scale).cast("long"))
-    return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
 class Shard:
@@ -101,30 +102,31 @@ def _exact_type(most: int, other: int, width: int) -> type:
 
 def search(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score; ``vectors`` as ``integer_vectors`` returns them."""
-    vectors = cut(vectors, "vectors")
+    vectors = cut(vectors.withColumn("key", F.monotonically_increasing_id()), "vectors")  # written, the keys are fixed
     n, m = vectors.select(F.count("*"), F.count_if(is_query)).first()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil((m or 0) / block_queries))
-    rows = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
-    queries = vectors.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
+    rows = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "key", F.lit(1)), F.lit(shards)).cast("int"))
+    queries = vectors.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", "key", F.lit(2)), F.lit(blocks)).cast("int"))
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"key": [], "query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             width = max(map(len, [*left.v, *right.v]))
             q, x = _matrix(left.v, width), _matrix(right.v, width)
             kind = _exact_type(int(np.abs(q).max(initial=0)), int(np.abs(x).max(initial=0)), max(width, 1))
             shard = Shard(right.vec_id.to_numpy(), x.astype(kind))
-            for own, one in zip(left.vec_id, q.astype(kind)):
+            for key, own, one in zip(left.key, left.vec_id, q.astype(kind)):
                 ids, scores = shard.search(own, one, k)
+                out["key"].append(np.full(len(ids), key))
                 out["query_id"].append(np.full(len(ids), own))
                 out["vec_id"].append(ids)
                 out["score"].append(scores)
         return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in out.items()}).astype("int64")
 
-    found = queries.groupBy("block", "shard").cogroup(rows.groupBy("block", "shard")).applyInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = queries.groupBy("block", "shard").cogroup(rows.groupBy("block", "shard")).applyInPandas(run, "key long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -134,11 +136,11 @@ def op6_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  SELECT row_number() OVER () AS key, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
+  SELECT q.key, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+SELECT query_id, row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 20
 """
