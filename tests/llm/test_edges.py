@@ -53,7 +53,7 @@ def test_pages_and_vectors(spark):
     assert urls.judge(pages.limit(0)).count() == 0
     vectors = spark.createDataFrame([(20, [1.0, 2.0], 0), (1, None, 0), (2, [None, 1.0], 0), (3, [float("nan"), 1.0], 0), (4, [float("inf"), 1.0], 0), (None, [1.0, 1.0], 0), (5, [1.0, 1.0], 0), (5, [1.0, 1.0], 0), (6, [1.0], 0)], "vec_id long, embedding array<float>, rank int")
     out = topk.search(topk.integer_vectors(vectors), F.col("vec_id") % 20 == 0, 20).collect()
-    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"])] == [(20, 1, 5, 64 * 64 * 3), (20, 2, 6, 64 * 64)]
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"])] == [(20, 1, 5, 64 * 64 * 3), (20, 2, 5, 64 * 64 * 3), (20, 3, 6, 64 * 64)]
     assert topk.search(topk.integer_vectors(vectors.limit(0)), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
@@ -73,3 +73,10 @@ def test_fingerprint_lanes_wrap_apart(spark):
     assert [(x + y) % whole for x, y in zip(f["a"].counts, f["b"].counts)] == list(f["ab"].counts)
     back = fingerprints.fingerprints(rows, "t", ["k"]).groupBy().pivot("k").agg(F.first("fingerprint"))
     assert back.select((fingerprints.delete(fingerprints.insert(F.col("b"), F.col("a")), F.col("a")) == F.col("b")).alias("x"), (fingerprints.delete(F.col("ab"), F.col("b")) == F.col("a")).alias("y")).first() == (True, True)
+
+
+def test_vectors_of_one_id_all_take_part(spark):
+    vectors = spark.createDataFrame([(20, [1.0, 1.0]), (20, [2.0, 0.0]), (5, [1.0, 1.0]), (5, [3.0, 3.0]), (6, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    out = topk.search(topk.integer_vectors(vectors), F.col("vec_id") % 20 == 0, 20).collect()
+    k = 64 * 64
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score // k) for r in out) == [(20, 1, 5, 6), (20, 1, 5, 6), (20, 2, 5, 2), (20, 2, 5, 2), (20, 3, 6, 0), (20, 3, 6, 1)]
