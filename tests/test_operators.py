@@ -175,7 +175,7 @@ def test_metrics_curve_and_sinks(spark, tmp_path):
     assert sorted((r.t, r.cum_tp) for r in E.progress_curve(found, gold, 10, include_tail=True).collect())[-1] == (40, 3)
     assert E.integral_quality(curve, 4, 40).first()["quality"] == pytest.approx((0 * 10 + 1 * 10 + 2 * 10 + 2 * 10) / 160)
     sinks.write_progress_curve(curve, str(tmp_path / "curve.csv"), 20)
-    assert (tmp_path / "curve.csv").read_text() == "Time,Number of duplicates\n0,0\n10,1\n20,2\n"
+    assert (tmp_path / "curve.csv").read_text() == "Time,Number of duplicates\n(0,0)\n10,1\n20,2\n"
     sinks.write_sweep([{"value": 0.5, "precision": 1.0, "recall": 0.5, "f1_score": 2 / 3}], str(tmp_path / "s"))
     assert (tmp_path / "s" / "recall.csv").read_text() == "Threshold,recall\n0.5,0.5\n"
 

@@ -156,6 +156,11 @@ def by_gpdep(lattice: Lattice, found: list[FD], threshold: float) -> list[FD]:
     return [f for f in found if gpdep(lattice, f) >= threshold] if threshold > 0 else found
 
 
+def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns and n: how often each combination of their values occurs, nulls being a value."""
+    return df.groupBy(*(F.col(quoted(c)) for c in columns)).agg(F.count("*").alias("n"))
+
+
 def column_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """c (place of the column), value: distinct non-null values."""
     columns = list(columns or df.columns)

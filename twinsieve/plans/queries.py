@@ -6,6 +6,7 @@ are rounded to nine places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,9 @@ from ..operators import ordering as O
 from ..operators import profile as P
 from ..operators import weights as W
 from ..operators.weights import AttributeWeight
-from ..scratch import cut
+from ..scratch import cut, own_dir
 from ..sources import delimited as D
+from ..sources import sinks as K
 from . import detect as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -411,13 +413,13 @@ def gpdep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1")
 def frequency_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of one column's values."""
-    return read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("value")).agg(F.count("*").alias("n"))
+    return P.frequencies(read(spark, sf_dir, "orders"), ["o_orderpriority"]).withColumnRenamed("o_orderpriority", "value")
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
 def frequency_map_of_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of a column set's values, kept apart."""
-    return read(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    return P.frequencies(read(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
 def _ind_sql(names: list[str], table: str) -> str:
@@ -621,3 +623,121 @@ def profiled_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     relation = D.as_relation(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), ["c_custkey"])
     cfg = DetectConfig(filter_pk=False, filter_ind=False, filter_fd=False, max_fd_determinant=2, max_ucc_determinant=2, similarity_threshold=0.9)
     return ordered_ids(X.detect(relation, cfg, id_col="c_custkey", absent=True))
+
+
+# Filters, single keys, orders and files of which no query above makes use
+
+
+@query(f"""WITH {_fd_sql('orders', ORDERS, 2)}, p AS (SELECT cols[1] AS a, squares / (rows::DOUBLE * rows) AS pdep FROM cards, total WHERE len(cols) = 1),
+g AS (SELECT array_to_string(lhs, ',') AS lhs, rhs, 1 - (pdep + (c.n - 1) / (rows - 1)::DOUBLE * (1 - pdep)) AS gpdep FROM fds JOIN p ON p.a = rhs JOIN cards c ON c.cols = lhs, total)
+SELECT lhs, rhs FROM g WHERE gpdep >= 0.001""")
+def genuine_fds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functional dependencies that are genuine enough."""
+    lattice = _lattice(spark, sf_dir, "orders", ORDERS)
+    return P.fd_table(spark, P.by_gpdep(lattice, P.fds(lattice, 2), 0.001)).select(_joined("lhs"), "rhs")
+
+
+IND_ONLY = DetectConfig(filter_missing=False, filter_ind=True, filter_pk=False, filter_fd=False, use_fd=False, use_ucc=False, use_weights=False, sind_threshold=0.75)
+
+
+@query(f"""WITH {_ind_sql(SIND_COLUMNS, 'r').replace('v AS (', 'r AS (SELECT p_name, p_name || chr(115) AS p_alias, p_brand FROM part), v AS (', 1)},
+s AS (SELECT a.c AS dep FROM v a JOIN v b ON a.c <> b.c AND 1 - levenshtein(a.v, b.v)::DOUBLE / greatest(length(a.v), length(b.v)) >= 0.75 - 1e-12 JOIN n ON n.c = a.c GROUP BY a.c, b.c, n.n HAVING count(DISTINCT a.v) = n.n),
+d AS (SELECT dep FROM inds a WHERE di < ri OR NOT EXISTS (SELECT 1 FROM inds b WHERE b.dep = a.ref AND b.ref = a.dep) UNION SELECT dep FROM s),
+names(index, attribute) AS (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(SIND_COLUMNS))})
+SELECT index, attribute FROM names WHERE attribute NOT IN (SELECT dep FROM d)""")
+def attributes_without_inds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter of dependent attributes, by similarity and exact inclusion dependencies together."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_name", F.lit("s")).alias("p_alias"), "p_brand")
+    chosen = W.attribute_weights(D.as_relation(rows, ["p_partkey"], SIND_COLUMNS), IND_ONLY)
+    return spark.createDataFrame([(a.index, a.attribute) for a in chosen], "index int, attribute string")
+
+
+ON_NAME = [AttributeWeight(1, "p_name", 1.0)]
+NAME_SQL = f"""n AS (SELECT p_partkey AS id, regexp_replace(coalesce(p_name, ''), '[^\\x00-\\x7F]', '?', 'g') AS t FROM part),
+o AS (SELECT id, t, row_number() OVER (ORDER BY lower(t), id) - 1 AS pos FROM n)"""
+
+
+def _single_key(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select("p_partkey", ascii_text("p_name").alias("p_name"))
+    found = X.single_key(D.as_relation(rows, ["p_partkey"]), PLAIN.but(algorithm=algorithm), ["p_name"], id_col="p_partkey", chosen=ON_NAME, concurrent=algorithm == "PB")
+    return ordered_ids(found).select("id1", "id2", rounded(F.col("sim")).alias("sim"))
+
+
+@query(f"WITH {NAME_SQL}, p AS (SELECT least(a.id, b.id) AS id1, greatest(a.id, b.id) AS id2, {lev_sql('a.t', 'b.t')} AS sim FROM o a JOIN o b ON b.pos BETWEEN a.pos + 1 AND a.pos + 19) SELECT id1, id2, round(sim, 9) AS sim FROM p WHERE NOT isnan(sim) AND sim >= 0.65")
+def psnm_single_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted neighbourhood over a named attribute's key."""
+    return _single_key(spark, sf_dir, "PSNM")
+
+
+@query(f"WITH {NAME_SQL}, p AS (SELECT least(a.id, b.id) AS id1, greatest(a.id, b.id) AS id2, {lev_sql('a.t', 'b.t')} AS sim FROM o a JOIN o b ON a.pos < b.pos AND b.pos // 4 - a.pos // 4 <= 4) SELECT id1, id2, round(sim, 9) AS sim FROM p WHERE NOT isnan(sim) AND sim >= 0.65")
+def pb_single_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progressive blocking over a named attribute's key, in the concurrent order."""
+    return _single_key(spark, sf_dir, "PB")
+
+
+def _block_rank_sql(rank: str) -> str:
+    return f"""WITH {PART_ORDER_SQL}, c AS (SELECT (count(*) + 3) // 4 AS blocks FROM part),
+p AS (SELECT a.k, a.rid AS r1, b.rid AS r2, b.pos // 4 - a.pos // 4 AS d, (a.pos // 4) * 16 + (a.pos % 4) * 4 + 1 AS inside FROM o a JOIN o b ON a.k = b.k AND b.pos > a.pos AND b.pos // 4 - a.pos // 4 <= 4)
+SELECT least(r1, r2) AS rid1, greatest(r1, r2) AS rid2, min({rank})::BIGINT AS rank FROM p, c GROUP BY 1, 2"""
+
+
+@query(_block_rank_sql("k * 5 * blocks * 16 + d * blocks * 16 + inside"))
+def pb_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block pairs of three keys with their place in the order key by key, nearest blocks first."""
+    return X.candidate_pairs(parts(spark, sf_dir), [O.attribute_key(F.col(c)) for c in PART_KEYS], PLAIN.but(algorithm="PB"))
+
+
+@query(_block_rank_sql("d * blocks * 16 * 3 + k * blocks * 16 + inside"))
+def pb_concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs in the attribute-concurrent order."""
+    return X.candidate_pairs(parts(spark, sf_dir), [O.attribute_key(F.col(c)) for c in PART_KEYS], PLAIN.but(algorithm="PB"), concurrent=True)
+
+
+@query(f"""WITH {CUSTOMER_ORDER_SQL}, f AS (SELECT least(a.rid, b.rid) AS id1, greatest(a.rid, b.rid) AS id2 FROM o a JOIN o b ON b.pos = a.pos + 7)
+SELECT c_custkey - 1 AS id1, c_custkey AS id2 FROM customer WHERE c_custkey - 1 IN (SELECT c_custkey FROM customer) EXCEPT SELECT id1, id2 FROM f""")
+def missed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold pairs (neighbouring ids) that pairs of one distance miss."""
+    found = C.distance_pairs(_customers(spark, sf_dir), 7).select(F.col("rid1").alias("id1"), F.col("rid2").alias("id2"))
+    ids = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"))
+    gold = ids.select((F.col("id") - 1).alias("id1"), F.col("id").alias("id2"))
+    return E.false_negatives(ordered_ids(found), D.gold_within(gold, ids)).select("id1", "id2")
+
+
+@query(f"""WITH {CUSTOMER_ORDER_SQL}, f AS (SELECT a.pos // 50 AS first, b.pos // 50 AS second, count(*) AS duplicates FROM o a JOIN o b ON b.pos = a.pos + 7 WHERE a.rid % 3 = b.rid % 3 GROUP BY 1, 2)
+SELECT first, second, duplicates, row_number() OVER (ORDER BY duplicates DESC, second - first, first) AS place FROM f ORDER BY place LIMIT 10""")
+def promising_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most promising pairs of blocks: most duplicates, then the nearest."""
+    placed = _customers(spark, sf_dir)
+    at = placed.select(F.col("rid").alias("rid2"), F.expr("pos div 50").alias("second"))
+    pairs = C.distance_pairs(placed, 7).where("rid1 % 3 = rid2 % 3").join(at, "rid2").withColumn("first", F.expr("pos div 50"))
+    best = O.block_pair_order(pairs.groupBy("first", "second").agg(F.count("*").alias("duplicates"))).limit(10).collect()
+    return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(best)], "first long, second long, duplicates long, place long")
+
+
+@query("SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_type FROM part")
+def delimited_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation written as delimited text and read again."""
+    path = f"{own_dir(spark)}/delimited-{uuid.uuid4().hex}"
+    K.write_relation(parts(spark, sf_dir), path)
+    return D.read_relation(spark, path).select("p_partkey", "p_name", "p_brand", "p_type")
+
+
+HALF = ["c_name", "c_mktsegment", "c_half"]
+NULLS_ONLY = IND_ONLY.but(filter_missing=True, filter_ind=False, null_threshold=0.25, similarity_threshold=0.9)
+_half_sim = lambda c: lev_sql(f"x.{c}", f"y.{c}")
+_half_w = lambda c: f"(SELECT count(*) FILTER ({c} IS NULL) / count(*)::DOUBLE < 0.25 FROM h)"
+
+
+@query(f"""WITH h AS (SELECT c_custkey AS id, c_name, c_mktsegment, CASE WHEN c_custkey % 2 = 1 THEN c_name END AS c_half FROM customer),
+w AS (SELECT {', '.join(f"{_half_w(c)} AS w_{c}" for c in HALF)}),
+o AS ({' UNION ALL '.join(f"SELECT {i} AS k, id, row_number() OVER (ORDER BY lower({c}), id) - 1 AS pos FROM h, w WHERE w_{c}" for i, c in enumerate(HALF))}),
+p AS (SELECT DISTINCT least(a.id, b.id) AS id1, greatest(a.id, b.id) AS id2 FROM o a JOIN o b ON a.k = b.k AND b.pos BETWEEN a.pos + 1 AND a.pos + 19),
+s AS (SELECT id1, id2, ({' + '.join(f"CASE WHEN w_{c} THEN {_half_sim(c)} ELSE 0 END" for c in HALF)}) / ({' + '.join(f"w_{c}::INT" for c in HALF)}) AS sim
+      FROM p JOIN h x ON x.id = id1 JOIN h y ON y.id = id2, w)
+SELECT id1, id2, round(sim, 9) AS sim FROM s WHERE NOT isnan(sim) AND sim >= 0.9 - 1e-12""")
+def profiled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profiled run: the attributes with few missing values are the keys and what is compared; SQL works them out, too."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 2 == 1, F.col("c_name")).alias("c_half"))
+    relation = D.as_relation(rows, ["c_custkey"], HALF)
+    found = X.run(relation, NULLS_ONLY, chosen=W.attribute_weights(relation, NULLS_ONLY, absent=True))
+    return found.scored.where("not isnan(sim) and sim >= 0.9 - 1e-12").select(F.col("rid1").alias("id1"), F.col("rid2").alias("id2"), rounded(F.col("sim")).alias("sim"))

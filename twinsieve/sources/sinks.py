@@ -18,7 +18,7 @@ def _one_file(path: str, lines: Iterable[str]) -> None:
 def write_progress_curve(curve: DataFrame, path: str, horizon: int) -> None:
     """``Time,Number of duplicates``, then (0,0), then the points up to the horizon: a bounded number of lines."""
     rows = curve.where(F.col("t") <= horizon).orderBy("t").collect()
-    _one_file(path, ["Time,Number of duplicates", "0,0", *(f"{r['t']},{r['cum_tp']}" for r in rows)])
+    _one_file(path, ["Time,Number of duplicates", "(0,0)", *(f"{r['t']},{r['cum_tp']}" for r in rows)])
 
 
 def write_sweep(rows: Iterable[Mapping[str, float]], directory: str, parameter: str = "Threshold") -> None:
