@@ -630,11 +630,11 @@ def profiled_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_fd_sql('orders', ORDERS, 2)}, p AS (SELECT cols[1] AS a, squares / (rows::DOUBLE * rows) AS pdep FROM cards, total WHERE len(cols) = 1),
 g AS (SELECT array_to_string(lhs, ',') AS lhs, rhs, 1 - (pdep + (c.n - 1) / (rows - 1)::DOUBLE * (1 - pdep)) AS gpdep FROM fds JOIN p ON p.a = rhs JOIN cards c ON c.cols = lhs, total)
-SELECT lhs, rhs FROM g WHERE gpdep >= 0.001""")
+SELECT lhs, rhs FROM g WHERE gpdep >= 0.00001""")
 def genuine_fds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functional dependencies that are genuine enough."""
     lattice = _lattice(spark, sf_dir, "orders", ORDERS)
-    return P.fd_table(spark, P.by_gpdep(lattice, P.fds(lattice, 2), 0.001)).select(_joined("lhs"), "rhs")
+    return P.fd_table(spark, P.by_gpdep(lattice, P.fds(lattice, 2), 0.00001)).select(_joined("lhs"), "rhs")
 
 
 IND_ONLY = DetectConfig(filter_missing=False, filter_ind=True, filter_pk=False, filter_fd=False, use_fd=False, use_ucc=False, use_weights=False, sind_threshold=0.75)
