@@ -115,6 +115,16 @@ def test_lattice_against_brute_force(spark, rows):
     assert {(f.lhs, f.rhs) for f in P.fds(lattice, 3)} == {(s, a) for s, a in holds if not any(t < s and b == a for t, b in holds)}
 
 
+@pytest.mark.parametrize("sample", [0, 3, 40, 1000])
+def test_a_sample_only_refutes(spark, sample):
+    rows = [(i, i // 2, i % 3 if i else None, "same" if i < 39 else "other") for i in range(40)]
+    lattice = P.Lattice(spark.createDataFrame(rows, "a long, b long, c long, d string").coalesce(1), sample=sample)
+    assert lattice.sample.rows == min(sample, 40)
+    assert set(P.uccs(lattice, 2)) == {frozenset("a"), frozenset("bc")}
+    assert {(f.lhs, f.rhs) for f in P.fds(lattice, 2)} >= {(frozenset("a"), x) for x in "bcd"}
+    assert not any(f.lhs == frozenset() or f == P.FD(frozenset("b"), "d") for f in P.fds(lattice, 2))
+
+
 @QUIET
 @given(rows=st.lists(st.tuples(*[st.sampled_from([None, "", "a", "ab", "abc", "abcdefgh", "abcdefgx", "abcd"])] * 3), min_size=1, max_size=8))
 def test_inclusion_against_brute_force(spark, rows):

@@ -2,22 +2,27 @@
 
 Only metadata (a number for each set of columns, a row for each dependency) reaches the driver.  The lattice of
 column sets is gone through level by level; a level is a few GROUPING SETS jobs, with supersets of what is found pruned.
-Null equals null in FDs and UCCs, and is no value in INDs.
+Exact FDs and UCCs that a few rows contradict are not counted at all.  Null equals null in FDs and UCCs, and is no
+value in INDs.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Columns = frozenset[str]
 #: Column sets in one GROUPING SETS job.
 SETS_A_JOB = 24
+#: Rows that refute candidates before all rows are counted; 8 bytes a value of them reach the driver.
+SAMPLE = 20_000
 
 
 @dataclass(frozen=True)
@@ -46,49 +51,94 @@ def below_null_threshold(nulls: dict[str, int], rows: int, threshold: float) ->
     return {c for c, n in nulls.items() if rows and not n / rows >= threshold}
 
 
+class Sample:
+    """Numbers of distinct rows of column sets among a few rows, by hashes of the values.
+
+    Rows can refute what they contradict, never confirm it: which rows they are doesn't matter.  Two values of one
+    hash would have to meet (chance 1e-11 a column) for a set to be refuted wrongly.
+    """
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], most: int):
+        rows = df.select(*(F.xxhash64(F.col(quoted(c))).alias(c) for c in df.columns)).limit(most).toArrow()
+        self.rows = rows.num_rows
+        self.codes = {c: np.unique(rows.column(i).to_numpy(), return_inverse=True)[1] for i, c in enumerate(columns)}
+        self.groups: dict[Columns, np.ndarray] = {frozenset(): np.zeros(self.rows, np.int64)}
+        self.cards: dict[Columns, int] = {}
+
+    def group(self, s: Columns) -> np.ndarray:
+        """The number of each row's group; kept for sets of up to two columns."""
+        if s in self.groups:
+            return self.groups[s]
+        last = max(s)
+        both = self.group(s - {last}) * max(self.rows, 1) + self.codes[last]
+        out = np.unique(both, return_inverse=True)[1]
+        if len(s) <= 2:
+            self.groups[s] = out
+        return out
+
+    def card(self, s: Columns) -> int:
+        if s not in self.cards:
+            self.cards[s] = int(self.group(s).max()) + 1 if self.rows else 0
+        return self.cards[s]
+
+    def not_unique(self, s: Columns) -> bool:
+        return self.card(s) < self.rows
+
+    def broken(self, x: Columns, a: str) -> bool:
+        """Whether rows that agree in ``x`` differ in ``a``."""
+        return self.card(x) < self.card(x | {a})
+
+
 class Lattice:
-    """Numbers of distinct rows (and sums of squared group sizes) of column sets, each worked out once."""
+    """Numbers of distinct rows (and, where asked for, sums of squared group sizes) of column sets, each worked out once."""
 
-    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None):
+    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, sample: int = SAMPLE):
         self.columns = list(columns or df.columns)
         self.df = df.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(self.columns)))
         self.place = {c: i for i, c in enumerate(self.columns)}
         self.rows = df.count()
-        self.known: dict[Columns, tuple[int, int]] = {frozenset(): (1 if self.rows else 0, self.rows**2)}
+        self.sample = Sample(self.df, self.columns, sample)
+        self.cards: dict[Columns, int] = {frozenset(): 1 if self.rows else 0}
+        self.sums: dict[Columns, int] = {frozenset(): self.rows**2}
 
-    def load(self, sets: Iterable[Columns]) -> None:
-        todo = [s for s in dict.fromkeys(sets) if s not in self.known]
+    def load(self, sets: Iterable[Columns], squares: bool = False) -> None:
+        known = self.sums if squares else self.cards
+        todo = [s for s in dict.fromkeys(sets) if s not in known]
         for at in range(0, len(todo), SETS_A_JOB):
-            self._job(todo[at : at + SETS_A_JOB])
+            self._job(todo[at : at + SETS_A_JOB], squares)
 
-    def _job(self, sets: list[Columns]) -> None:
+    def _job(self, sets: list[Columns], squares: bool) -> None:
         used = sorted({self.place[c] for s in sets for c in s})
         names = [f"c{i}" for i in used]
         if len(names) > 60:  # grouping_id has 64 bits
             half = len(sets) // 2
             for part in (sets[:half], sets[half:]) if half else ():
-                self._job(part)
+                self._job(part, squares)
             if not half:
                 raise ValueError("a column set of more than 60 columns")
             return
         spec = ", ".join("(" + ", ".join(f"c{self.place[c]}" for c in sorted(s)) + ")" for s in sets)
-        view = "__lattice"
+        view = f"lattice_{uuid.uuid4().hex}"
         self.df.createOrReplaceTempView(view)
-        found = self.df.sparkSession.sql(f"""
-            SELECT gid, count(*) AS card, sum(cast(n AS decimal(38, 0)) * n) AS squares
-            FROM (SELECT grouping_id() AS gid, count(*) AS n FROM {view}
-                  GROUP BY {", ".join(names)} GROUPING SETS ({spec})) GROUP BY gid""").collect()
-        self.df.sparkSession.catalog.dropTempView(view)
-        by_id = {r["gid"]: (r["card"], int(r["squares"])) for r in found}
+        try:
+            found = self.df.sparkSession.sql(f"""
+                SELECT gid, count(*) AS card{", sum(cast(n AS decimal(38, 0)) * n) AS squares" if squares else ""}
+                FROM (SELECT grouping_id() AS gid{", count(*) AS n" if squares else ""} FROM {view}
+                      GROUP BY {", ".join(names)} GROUPING SETS ({spec})) GROUP BY gid""").collect()
+        finally:
+            self.df.sparkSession.catalog.dropTempView(view)
+        by_id = {r["gid"]: r for r in found}
         for s in sets:
             gid = sum(1 << (len(names) - 1 - k) for k, i in enumerate(used) if self.columns[i] not in s)
-            self.known[s] = by_id.get(gid, (0, 0))
+            self.cards[s] = by_id[gid]["card"] if gid in by_id else 0
+            if squares:
+                self.sums[s] = int(by_id[gid]["squares"]) if gid in by_id else 0
 
     def card(self, s: Columns) -> int:
-        return self.known[s][0]
+        return self.cards[s]
 
     def squares(self, s: Columns) -> int:
-        return self.known[s][1]
+        return self.sums[s]
 
 
 def _unless_covered(candidates: Iterable[Columns], found: list[Columns]) -> list[Columns]:
@@ -103,7 +153,9 @@ def uccs(lattice: Lattice, most: int, error: float = 0.0) -> list[Columns]:
     n, found = lattice.rows, []
     for level in range(1, most + 1):
         todo = _unless_covered(map(frozenset, combinations(lattice.columns, level)), found)
-        lattice.load(todo)
+        if not error:
+            todo = [s for s in todo if not lattice.sample.not_unique(s)]
+        lattice.load(todo, squares=bool(error))
         ok = (lambda s: lattice.card(s) == n) if not error else (lambda s: (lattice.squares(s) - n) <= error * n * (n - 1))
         found += [s for s in todo if n and ok(s)]
     return found
@@ -124,7 +176,9 @@ def fds(lattice: Lattice, most: int, error: float = 0.0) -> list[FD]:
         return []
     for level in range(most + 1):
         todo = [(x, a) for x in map(frozenset, combinations(lattice.columns, level)) for a in lattice.columns if a not in x and not any(m <= x for m in minimal[a])]
-        lattice.load([s for x, a in todo for s in (x, x | {a})])
+        if not error:
+            todo = [(x, a) for x, a in todo if not lattice.sample.broken(x, a)]
+        lattice.load([s for x, a in todo for s in (x, x | {a})], squares=bool(error))
         for x, a in todo:
             both = x | {a}
             holds = lattice.card(x) == lattice.card(both) if not error else (lattice.squares(x) - lattice.squares(both)) <= error * (n * n - n)
@@ -136,7 +190,7 @@ def fds(lattice: Lattice, most: int, error: float = 0.0) -> list[FD]:
 
 def pdep(lattice: Lattice, column: str) -> float:
     """Chance that two rows drawn at random agree in the column."""
-    lattice.load([frozenset([column])])
+    lattice.load([frozenset([column])], squares=True)
     return lattice.squares(frozenset([column])) / float(lattice.rows) ** 2
 
 
