@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Any
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(shared: Broadcast, make: Callable[[Any], Any]) -> Any:
+    """What ``make`` makes of a broadcast value, kept beside it: a worker process has one for all its tasks."""
+    if not hasattr(shared, "_made"):
+        shared._made = make(shared.value)
+    return shared._made
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))
 

@@ -3,7 +3,9 @@
 The rules' keys (host + path) are hashed with 64-bit xxhash and sorted; the array, the offsets and the stored
 key strings lie in one binary that each Python worker memory-maps.  A url's candidate keys are its host and
 parent domains, each with every prefix of its path that is as long as some rule's path; they are probed with a
-vectorised binary search and confirmed against the stored strings, so a digest collision can't decide.
+vectorised binary search and confirmed against the stored strings, so a digest collision can't decide.  Urls of a
+batch that agree in host and in as much of the path as any rule has are looked up once.  The list of blocked hosts
+is a parameter; ``read_hosts`` reads one from a file.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed.  Repeated
 urls are judged each.  An empty table gives an empty result.  Other columns are not looked at.  The longest
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, once, table
 
 #: Bytes of index that may be broadcast; ``judge`` refuses a longer list, ``judge_by_join`` takes it.
 MAX_INDEX_BYTES = 256 << 20
@@ -47,6 +49,13 @@ BLOCKED_HOSTS = (
 )
 
 
+def read_hosts(path: str) -> list[str]:
+    """The hosts of a list: one a line, the last word counts (lines of a hosts file), ``#`` begins a comment; A-Z lower-cased."""
+    with open(path, encoding="utf-8") as f:
+        words = [line.split("#")[0].split() for line in f]
+    return list(dict.fromkeys(w[-1].lower().strip(".") for w in words if w))
+
+
 def build_index(rules: Iterable[tuple[str, str, str]], seed: int = 0) -> bytes:
     """One binary: counts, path lengths, sorted digests, string offsets, host lengths, verdicts, key strings."""
     unique: dict[str, tuple[str, str]] = {}
@@ -139,18 +148,21 @@ def split_url(urls: DataFrame) -> DataFrame:
 
 def best(array: DigestArray, hosts: Sequence[str], paths: Sequence[str]) -> list[int]:
     """The place of the longest fitting rule of each url, -1 without one."""
+    longest = max(array.lengths, default=0)
+    different: dict[tuple[bytes, bytes], int] = {}
+    which = [different.setdefault((h.encode(), p[:longest].encode()[:longest]), len(different)) for h, p in zip(hosts, paths)]
     keys, owners, ranks = [], [], []
-    for i, (h, p) in enumerate(zip(hosts, paths)):
-        for key, n in candidates(h.encode(), p.encode(), array.lengths):
+    for (h, p), i in different.items():
+        for key, n in candidates(h, p, array.lengths):
             keys.append(key)
             owners.append(i)
             ranks.append((len(key), n))
-    out, top = [-1] * len(hosts), [(-1, -1)] * len(hosts)
+    out, top = [-1] * len(different), [(-1, -1)] * len(different)
     for j, at in enumerate(array.find(keys)):
         # The same key may be cut into host and path in two ways; only the rule's own cut fits.
         if at >= 0 and int(array.hosts[at]) == ranks[j][1] and ranks[j] > top[owners[j]]:
             out[owners[j]], top[owners[j]] = int(at), ranks[j]
-    return out
+    return [out[i] for i in which]
 
 
 def judge(urls: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, blocked_hosts: Iterable[str] = BLOCKED_HOSTS) -> DataFrame:
@@ -161,7 +173,7 @@ def judge(urls: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, blocke
     shared = urls.sparkSession.sparkContext.broadcast((first, second))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ruled, blocked = map(DigestArray, shared.value)
+        ruled, blocked = once(shared, lambda value: [DigestArray(raw) for raw in value])
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             by_rule, by_list = best(ruled, hosts, paths), best(blocked, hosts, [""] * len(hosts))
