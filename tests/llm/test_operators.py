@@ -360,6 +360,40 @@ def test_urls_against_brute_force(spark):
         assert (by_join[i].rule, by_join[i].verdict) == (rule, verdict or "allow")
 
 
+def test_hosts_from_a_file(spark, tmp_path):
+    (tmp_path / "hosts").write_text("# list\n0.0.0.0 Bad.example\n\nworse.example.  # with its subdomains\nbad.example\n")
+    hosts = urls.read_hosts(str(tmp_path / "hosts"))
+    assert hosts == ["bad.example", "worse.example"]
+    pages = [(1, "http://bad.example/"), (2, "http://a.worse.example/x"), (3, "http://notbad.example/"), (4, "http://bad.example/ok/1"), (5, "http://bad.example/o"), (6, "http://BAD.example/ok/2")]
+    rows = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), [("allow", "example", "/ok/")], hosts).collect()
+    assert {r.page_id: (r.verdict, r.rule, r.decided_by) for r in rows} == {
+        1: ("block", None, "blocklist"), 2: ("block", None, "blocklist"), 3: ("allow", None, "default"),
+        4: ("allow", "example/ok/", "rule"), 5: ("block", None, "blocklist"), 6: ("allow", "example/ok/", "rule"),
+    }
+
+
+def test_long_words_are_not_remembered():
+    """Results with and without the bound on what a worker remembers are the same."""
+    long = "x" * 100
+    text = f"{long} a b c {long} d e f {long} a b c"
+    plain, again = jaccard.Shingler(2), jaccard.Shingler(2)
+    first = plain.shingles(text)
+    assert long not in plain.known and "a" in plain.known
+    assert (first == plain.shingles(text)).all() and (first == again.shingles(text)).all()
+
+
+def test_scorer_matches_features():
+    """Scores by remembered words against the mean of the vectors of a document's features, through the softmax."""
+    texts = ["good words go here", "bad bad bad junk", "", "x" * 300, "good good words 12 12", "ΑΒΓ δε words"] * 3
+    model = quality.train(texts, [1, 0, 0, 0, 1, 1] * 3)
+    scorer = quality.Scorer(model.folded(), most=4)
+    scores = [scorer.scores([t])[0] for t in texts]
+    for text, got in zip(texts, scores):
+        ids, share = quality.document_features(text, {})
+        odds = np.exp(model.output.astype(np.float64) @ (share.astype(np.float64) @ model.vectors[ids]))
+        assert abs(got - odds[1] / odds.sum()) < 1e-4, text
+
+
 def test_digest_collisions_are_confirmed():
     array = urls.DigestArray(urls.build_index([("block", "a.com", "/"), ("allow", "b.com", "/x")]))
     raw = bytearray(urls.build_index([("block", "a.com", "/")]))

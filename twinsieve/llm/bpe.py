@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import table, text_or_empty
 
-#: Pre-tokens whose ids a worker remembers.
-CACHE = 300_000
+#: Pre-tokens whose ids a worker remembers, and the longest one (characters) that it does.
+CACHE, LONGEST = 300_000, 64
 #: Bytes of vocabulary that may be broadcast; a larger rank file is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -118,9 +118,9 @@ class Codec:
         found = list(map(cache.get, pretokens))
         if None in found:
             new = list({p for p, x in zip(pretokens, found) if x is None})
-            for p, ids in zip(new, self.encode_pretokens(new)):
-                cache[p] = (",".join(map(str, ids)), len(ids), self.decode(ids), ids)
-            found = [x or cache[p] for p, x in zip(pretokens, found)]
+            fresh = {p: (",".join(map(str, ids)), len(ids), self.decode(ids), ids) for p, ids in zip(new, self.encode_pretokens(new))}
+            cache.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST)
+            found = [x or fresh[p] for p, x in zip(pretokens, found)]
         return found
 
     def encode(self, text: str) -> list[int]:

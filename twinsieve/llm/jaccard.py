@@ -36,8 +36,8 @@ VALUES = BANDS * ROWS
 #: Values compared between two looks at the posterior, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
 CHUNK = 256
-#: Word hashes that a worker remembers.
-CACHE = 400_000
+#: Word hashes that a worker remembers, and the longest word (characters) whose hash it does.
+CACHE, LONGEST = 400_000, 64
 
 _random = np.random.default_rng(20_011)
 FACTORS = _random.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,10 +60,9 @@ class Shingler:
             known.clear()
         found = list(map(known.get, words))
         if None in found:
-            for w, x in zip(words, found):
-                if x is None:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            found = list(map(known.get, words))
+            fresh = {w: xxhash.xxh64_intdigest(w) for w, x in zip(words, found) if x is None}
+            known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
+            found = [fresh[w] if x is None else x for w, x in zip(words, found)]
         h, n = np.array(found, np.uint64), min(self.words, len(words))
         out = np.zeros(len(words) - n + 1, np.uint64)
         with np.errstate(over="ignore"):

@@ -35,8 +35,8 @@ BUCKETS = 1 << 18
 #: Buckets 0 and 1: the feature of every text, and of a word that follows itself.
 EVERY, REPEATED, OWN = 0, 1, 2
 WORDS = re.compile(r"\w+|[^\w\s]+")
-#: Word types that a worker remembers.
-CACHE = 400_000
+#: Word types that a worker remembers, and their characters in all.
+CACHE, CACHE_CHARS = 400_000, 32 << 20
 
 
 def held_out() -> Column:
@@ -150,6 +150,7 @@ class Scorer:
 
     def _reset(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.sums, self.counts = np.zeros(1 << 12), np.zeros(1 << 12)
 
     def _learn(self, new: list[str]) -> None:
@@ -160,9 +161,10 @@ class Scorer:
         self.sums[n:m] = np.add.reduceat(self.folded[bucket].astype(np.float64), starts)
         self.counts[n:m] = np.diff(np.append(starts, len(bucket)))
         self.place.update(zip(new, range(n, m)))
+        self.chars += sum(map(len, new))
 
     def scores(self, texts: Sequence[str]) -> list[float]:
-        if len(self.place) > self.most:
+        if len(self.place) > self.most or self.chars > CACHE_CHARS:
             self._reset()
         found = [WORDS.findall(t) for t in texts]
         get = self.place.get
@@ -188,8 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return train([r[2] for r in rows], [r[1] for r in rows])
 
 
-def _scores(folded: np.ndarray | None, constant: float) -> Callable[[Sequence[str]], list[float]]:
+def _scores(model: tuple[np.ndarray | None, float]) -> Callable[[Sequence[str]], list[float]]:
     """What scores texts on an executor."""
+    folded, constant = model
     gc.freeze()
     return (lambda texts: [constant] * len(texts)) if folded is None else Scorer(folded).scores
 
@@ -200,7 +203,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = rows.sparkSession.sparkContext.broadcast((model.folded(), model.constant))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _scores(*shared.value)
+        scores = _scores(shared.value)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 found = scores(part.column("text").to_pylist())
@@ -216,7 +219,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     shared = rows.sparkSession.sparkContext.broadcast((model.folded(), model.constant))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _scores(*shared.value)
+        scores = _scores(shared.value)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 texts = part.column(ROW).field("text").to_pylist()
