@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_or_empty
+from .common import once, table, text_or_empty
 
 #: Pre-tokens whose ids a worker remembers, and the longest one (characters) that it does.
 CACHE, LONGEST = 300_000, 64
@@ -145,7 +145,12 @@ def digests_of(found: list[tuple]) -> tuple[int, str, str]:
 
 
 def _codec_of(shared, pattern: str) -> Codec:
-    return Codec(shared.value, pattern)
+    def make(proto: bytes) -> Codec:
+        codec = Codec(proto, pattern)
+        gc.freeze()  # nothing here is cyclic; don't walk the cache again and again
+        return codec
+
+    return once(shared, make)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -164,7 +169,6 @@ def _mapped(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec_of(shared, pattern)
-        gc.freeze()  # nothing here is cyclic; don't walk the cache again and again
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, len(batch), 512)):
                 # Each text is cut and looked up once, for digests and ids.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, table, text_or_empty, whole_row
+from .common import ROW, once, table, text_or_empty, whole_row
 
 THRESHOLD = 0.3
 PER_CLASS = 2_000
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = rows.sparkSession.sparkContext.broadcast((model.folded(), model.constant))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _scores(shared.value)
+        scores = once(shared, _scores)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 found = scores(part.column("text").to_pylist())
@@ -219,7 +219,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     shared = rows.sparkSession.sparkContext.broadcast((model.folded(), model.constant))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _scores(shared.value)
+        scores = once(shared, _scores)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 texts = part.column(ROW).field("text").to_pylist()
