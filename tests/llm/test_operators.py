@@ -163,6 +163,48 @@ def test_dense_blocks_are_verified_like_sparse_ones():
     assert set(zip(x.tolist(), y.tolist())) == expected and len(expected) > 160
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark, make):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (1, "another text of six words"), (2, base + " more"), (3, "another text of six words"), (3, "a third one that no other has"), (1, base)]
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard.join(make(rows)).collect())
+    assert got == [(1, 1, 1, 2), (1, 1, 2, 2), (1, 1, 2, 2), (2, 1, 2, 1), (3, 1, 1, 2), (3, 3, 0, 1)]
+    kept = sorted((r.doc_id, r.text) for r in jaccard.one_of_each(make(rows)).collect())
+    assert kept == [(1, "another text of six words"), (1, base), (3, "a third one that no other has")]
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_survivors_connect_what_pairwise_pruning_connects(cross):
+    draw, bounds = np.random.default_rng(8), jaccard.least_matches(0.8)
+    base = draw.integers(0, 1 << 32, (9, jaccard.VALUES), dtype=np.uint32)
+    signs = base[draw.integers(0, 9, 120)]
+    noise = draw.random(signs.shape) < draw.choice([0.02, 0.12, 0.3, 0.6], 120)[:, None]
+    signs = np.where(noise, draw.integers(0, 1 << 32, signs.shape, dtype=np.uint32), signs)
+    second = draw.random(120) < 0.5
+    pairs = [(a, b) for a, b in combinations(range(120), 2) if (not cross or second[a] != second[b]) and all((signs[a, :n] == signs[b, :n]).sum() >= m for n, m in bounds)]
+
+    def parts(links):
+        group = list(range(120))
+        for a, b in links:
+            group = [group[a] if g == group[b] else g for g in group]
+        return {frozenset(i for i in range(120) if group[i] == g) for g in set(group)}
+
+    links = jaccard.survivors(signs, second, cross, bounds)
+    assert set(links) <= set(pairs) and parts(links) == parts(pairs) and len(links) == 120 - len(parts(pairs))
+
+
+def test_chance_agreement_of_a_band_moves_no_text(spark, make):
+    """Texts that share one sentence share bands by chance, chained through others; none of them is dealt with its text."""
+    draw = random.Random(3)
+    pool = [" ".join(f"{draw.choice('bcdfg')}{draw.randrange(500)}" for _ in range(14)) for _ in range(40)]
+    rows = [(i, " ".join(draw.sample(pool, 6))) for i in range(300)]
+    classes = jaccard.cut(jaccard.classes_of(jaccard.sketches(make(rows))), "classes")
+    assert jaccard.shared_bands(classes).select("node").distinct().count() > 100
+    moved = jaccard._dealt(classes, make(rows), 0.8, 256).count()
+    assert moved < 30
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(make(rows)).collect()}
+    assert got == brute_links(rows)
+
+
 def test_posterior_bounds():
     bounds = dict(jaccard.least_matches(0.8))
     draw = np.random.default_rng(1)

@@ -6,14 +6,18 @@ agree in all values of one of 24 bands.  Candidate pairs compare their signature
 dropped once the posterior probability (uniform prior) that the similarity reaches the threshold falls below
 ``TOLERANCE``; all others are verified exactly on their shingle sets.
 
-Pairs never become rows.  Classes that share bands, directly or through others, form a component; a component is
-dealt in chunks of at most about ``CHUNK`` classes, each two of which meet in one task, where the pairs are
+Pairs never become rows.  First the signatures of the classes that share a band (bands shared by the same classes
+count once) meet in blocks of at most about ``2 * SIEVE`` of them; each block gives a spanning forest of the pairs
+that survive the pruning.  The components of these forests, not those of shared bands, are then dealt with their
+texts in chunks of at most about ``CHUNK`` classes, each two of which meet in one task, where the pairs are
 compared in blocks.  A task returns each class's links as sums and a spanning forest of the links, from which
-the groups follow.  So a group of any size is spread over tasks of bounded size, and nothing is capped.
+the groups follow.  So chance agreements of a band move no text and join no components, a group of any size is
+spread over tasks of bounded size, and nothing is capped.
 
 Edge cases: null and empty texts (also those of blanks only) have no shingles; they link to their exact copies only.
-Rows with a null doc_id take no part and have a null class and no links.  Rows that share a doc_id are one document.
-Repeated rows get the same result each.  Extra columns are not looked at.
+Rows with a null doc_id take no part and have a null class and no links.  Rows that share a doc_id are judged each by
+its own text, as documents of that number.  Repeated rows get the same result each.  Very long texts are taken whole.
+Empty tables give empty tables.  Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ BANDS, ROWS = 24, 4
 VALUES = BANDS * ROWS
 #: Values compared between two looks at the posterior, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
-CHUNK = 256
+CHUNK, SIEVE = 256, 1024
 #: Word hashes that a worker remembers, and the longest word (characters) whose hash it does.
 CACHE, LONGEST = 400_000, 64
 
@@ -131,28 +135,89 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def classes_of(sketch: DataFrame) -> DataFrame:
-    """node (smallest id), t1, t2, copies, signature, bands of each class of equal texts."""
-    return sketch.groupBy("t1", "t2").agg(F.min("d").alias("node"), F.count("*").alias("copies"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"))
+    """node (a number of its own, good once written), id (smallest doc_id), t1, t2, copies, signature, bands of each class of equal texts."""
+    same = sketch.groupBy("t1", "t2").agg(F.min("d").alias("id"), F.count("*").alias("copies"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"))
+    return same.withColumn("node", F.monotonically_increasing_id())
 
 
-def candidate_components(classes: DataFrame) -> DataFrame:
-    """node, root of the classes that share a band with another one."""
+def meetings(rows: DataFrame, chunk: int) -> DataFrame:
+    """``rows`` (node, size of what it belongs to, ...) once for each block of chunks they meet in: adds i, j and side."""
+    rows = rows.withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    return rows.withColumn("second", F.col("chunk") != F.col("i")).drop("size", "chunks", "chunk", "other")
+
+
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """node, key, size: members of bands that several classes share; of bands with the same members only the least key."""
     keys = classes.select("node", F.explode("bands").alias("key"))
-    leads = cut(keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").drop("last"), "leads")
-    return components(keys.join(leads, "key").where("node > lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    bands = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lead"), *members).where("size > 1")
+    bands = cut(bands.groupBy("size", "lead", "x", "y").agg(F.min("key").alias("key")).select("key", "size"), "bands")
+    return keys.join(bands, "key")
+
+
+def survivors(signs: np.ndarray, second: np.ndarray, cross: bool, bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links (places) of a spanning forest of the pairs that survive the pruning; in a cross block, of pairs from both sides.
+
+    Pairs already connected aren't compared, so a block of near copies takes about as many comparisons as it has classes.
+    """
+    n, out = len(signs), []
+    group = np.arange(n)
+    for x in range(n - 1):
+        y = x + 1 + np.flatnonzero(group[x + 1 :] != group[x])
+        if cross:
+            y = y[second[y] != second[x]]
+        agree, at = np.zeros(len(y), np.int32), 0
+        for upto, least in bounds:
+            agree += (signs[y, at:upto] == signs[x, at:upto]).sum(axis=1, dtype=np.int32)
+            keep = agree >= least
+            y, agree, at = y[keep], agree[keep], upto
+        if len(y):
+            met, first = np.unique(group[y], return_index=True)
+            out += [(x, int(k)) for k in y[first]]
+            group[np.isin(group, met)] = group[x]
+    return out
+
 
+def candidate_links(classes: DataFrame, threshold: float, chunk: int = SIEVE) -> DataFrame:
+    """a, b: forests, block by block, of the pairs that share a band and survive the pruning."""
+    bounds = least_matches(threshold)
+
+    def links(rows: list[tuple], cross: bool) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        signs = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(len(rows), VALUES)
+        return [(rows[a][0], rows[b][0]) for a, b in survivors(signs, np.array([r[1] for r in rows], bool), cross, bounds)]
 
-def _dealt(classes: DataFrame, docs: DataFrame, chunk: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, out = None, [], []
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, len(batch), 1024)):
+                columns = [part.column(c).to_pylist() for c in ("key", "i", "j", "node", "second", "signature")]
+                for key, i, j, *row in zip(*columns):
+                    if (key, i, j) != at:
+                        out += links(rows, at is not None and at[1] != at[2])
+                        at, rows = (key, i, j), []
+                    rows.append(row)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                out = []
+        out = links(rows, at is not None and at[1] != at[2])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    met = meetings(shared_bands(classes).join(classes.select("node", "signature"), "node"), chunk)
+    met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return met.select("key", "i", "j", "node", "second", "signature").mapInArrow(run, "a long, b long")
+
+
+def _dealt(classes: DataFrame, docs: DataFrame, threshold: float, chunk: int) -> DataFrame:
     """A row for each class and each block that it meets in: block key (root, i, j), side, and the class with its text."""
-    roots = cut(candidate_components(classes), "roots")
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    nodes = roots.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    nodes = nodes.join(classes.drop("bands"), "node")
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).withColumn("t1", F.xxhash64("text"))
-    nodes = nodes.join(texts, ["node", "t1"]).dropDuplicates(["node", "t1", "t2"])
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    nodes = nodes.withColumn("other", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    return nodes.select("root", "i", "j", "node", (F.col("chunk") != F.col("i")).alias("second"), "copies", "signature", "text")
+    roots = cut(components(candidate_links(classes, threshold)), "roots")
+    nodes = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").join(classes.drop("bands"), "node")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    texts = texts.select("id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), "text")
+    nodes = nodes.join(texts, ["id", "t1", "t2"]).dropDuplicates(["node"])
+    return meetings(nodes, chunk).select("root", "i", "j", "node", "second", "copies", "signature", "text")
 
 
 def linked(nodes: np.ndarray, second: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], cross: bool, threshold: float, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -263,37 +328,49 @@ def compared(dealt: DataFrame, words: int, threshold: float, pairs: bool) -> Dat
 def _found(docs: DataFrame, words: int, threshold: float, chunk: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     sketch = cut(sketches(docs, words), "sketches")
     classes = cut(classes_of(sketch), "classes")
-    return sketch, classes, cut(compared(_dealt(classes, docs, chunk), words, threshold, pairs), "links")
+    return sketch, classes, cut(compared(_dealt(classes, docs, threshold, chunk), words, threshold, pairs), "links")
+
+
+def _named(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """node, first (id, t1, t2) of the least class of its group: the classes that have links."""
+    groups = cut(components(found.where("peer is not null"), "node", "peer").join(classes.select("node", F.struct("id", "t1", "t2").alias("own")), "node"), "groups")
+    return groups.join(groups.groupBy("root").agg(F.min("own").alias("first")), "root").select(F.col("node").alias("n"), "first")
 
 
 def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """For every row: doc_id, class_id (smallest doc_id of its group), n_links (other documents at least that similar,
     copies included), n_link_texts (different texts among them), n_copies (documents with its text)."""
     sketch, classes, found = _found(docs, words, threshold, chunk, pairs=False)
-    groups = components(found.where("peer is not null"), "node", "peer").withColumnRenamed("node", "n")
-    sums = found.where("peer is null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts")).withColumnRenamed("node", "n")
-    known = classes.select("t1", "t2", "node", "copies").join(groups, F.col("node") == F.col("n"), "left").drop("n").join(sums, F.col("node") == F.col("n"), "left").drop("n")
-    rows = sketch.select("d", "t1", "t2").join(cut(known, "known"), ["t1", "t2"])  # plain shuffles, so many copies can be split
+    sums = found.where("peer is null").groupBy(F.col("node").alias("m")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    known = classes.select("t1", "t2", "id", "node", "copies").join(_named(classes, found), F.col("node") == F.col("n"), "left").join(sums, F.col("node") == F.col("m"), "left")
+    known = cut(known.select("t1", "t2", F.coalesce("first.id", "id").alias("class_id"), "copies", "links", "texts"), "known")
+    rows = sketch.select("d", "t1", "t2").join(known, ["t1", "t2"])  # plain shuffles, so many copies can be split
     zero = F.lit(0).cast("long")
-    out = rows.select(F.col("d").alias("doc_id"), F.coalesce("root", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", zero)).alias("n_links"), F.coalesce("texts", zero).alias("n_link_texts"), F.col("copies").alias("n_copies"))
+    out = rows.select(F.col("d").alias("doc_id"), "class_id", (F.col("copies") - 1 + F.coalesce("links", zero)).alias("n_links"), F.coalesce("texts", zero).alias("n_link_texts"), F.col("copies").alias("n_copies"))
     none = docs.where(F.col("doc_id").isNull()).select(*(F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id")), *(zero.alias(c) for c in ("n_links", "n_link_texts")), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(none)
 
 
 def pairs(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """a, b: the linked pairs of class representatives (a < b), which may be many; their copies are in ``classes_of``."""
-    return _found(docs, words, threshold, chunk, pairs=True)[2].where("peer is not null").select(F.col("node").alias("a"), F.col("peer").alias("b")).distinct()
+    """a, b: doc_ids of the linked pairs of class representatives (a <= b), which may be many; their copies are in ``classes_of``."""
+    _, classes, found = _found(docs, words, threshold, chunk, pairs=True)
+    ids = classes.select("node", "id")
+    both = found.where("peer is not null").select("node", "peer").join(ids, "node").withColumnRenamed("id", "x")
+    both = both.join(ids.toDF("peer", "y"), "peer")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def one_of_each(docs: DataFrame, **how: float) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """One document of each group, the one of the smallest doc_id, columns unchanged; rows without a doc_id stay.
 
-    Of rows that share that doc_id the one with the smallest hash of its text stays.
+    Should the group have several texts under that doc_id, the one with the smallest hash stays; of rows that repeat, one.
     """
-    ids = join(docs, **how).where("doc_id = class_id").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("h"))
-    first = Window.partitionBy("id").orderBy("h")
-    kept = rows.where("id is not null").join(ids, "id").withColumn("n", F.row_number().over(first)).where("n = 1")
+    _, classes, found = _found(docs, words, threshold, chunk, pairs=False)
+    own = classes.select("node", "id", "t1", "t2").join(_named(classes, found), F.col("node") == F.col("n"), "left")
+    firsts = own.where("first is null or first = struct(id, t1, t2)").select("id", "t1", "t2")
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("t1"), F.xxhash64(text_or_empty(), F.lit(1)).alias("t2"))
+    first = Window.partitionBy("id", "t1", "t2").orderBy("t1")
+    kept = rows.where("id is not null").join(firsts, ["id", "t1", "t2"]).withColumn("n", F.row_number().over(first)).where("n = 1")
     return kept.select(f"{ROW}.*").unionByName(rows.where("id is null").select(f"{ROW}.*"))
 
 
