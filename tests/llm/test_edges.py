@@ -1,5 +1,7 @@
 """Every operator and stage on edge cases and on empty tables."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,22 @@ def test_vectors_of_one_id_all_take_part(spark):
     out = topk.search(topk.integer_vectors(vectors), F.col("vec_id") % 20 == 0, 20).collect()
     k = 64 * 64
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score // k) for r in out) == [(20, 1, 5, 6), (20, 1, 5, 6), (20, 2, 5, 2), (20, 2, 5, 2), (20, 3, 6, 0), (20, 3, 6, 1)]
+
+
+def ids(rows):
+    return sorted((r.doc_id for r in rows), key=lambda x: (x is not None, x))
+
+
+def test_what_stages_make_of_edges(spark, make, edge_rows, tmp_path):
+    stages, docs = dict(corpus_pipeline.STAGES), make(edge_rows)
+    every = ids(docs.collect())
+    labels_of(spark, []).write.parquet(str(tmp_path / "labels.parquet"))
+    assert ids(stages["quality_classifier"](spark, docs, str(tmp_path)).collect()) == every
+    cut = stages["line_dedup"](spark, docs, "").collect()
+    assert ids(cut) == [i for i in every if i != 6] and {r.doc_id: r.text for r in cut if r.doc_id in (1, 2)} == {1: None, 2: ""}
+    assert ids(stages["jaccard_join"](spark, docs, "").collect()) == [None, None, -5, 1, 3, 4, 5, 7, 7, 9, 10]
+    mixed = stages["source_mixing"](spark, docs, "").collect()
+    assert all((r.text or "").split() for r in mixed) and {5, 6} <= {r.doc_id for r in mixed}
+    assert max(Counter((r.doc_id, r.text) for r in mixed).values()) <= 6  # three times a row; one comes twice
+    ended = stages["byte_level_bpe"](spark, docs, "").collect()
+    assert ids(ended) == every and {r.n_tokens for r in ended if r.doc_id in (1, 2)} == {0}

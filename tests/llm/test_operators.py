@@ -6,6 +6,7 @@ import os
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -80,6 +81,20 @@ def test_quality_learns_and_ignores_held_out(spark, make):
     assert kept == {i for i, r in out.items() if r.predicted}
 
 
+def test_quality_sample_is_bounded_in_bytes(spark, make, monkeypatch):
+    """Beyond the bound the longest labelled texts are left out of training; with room enough none is."""
+    rows = [(i, "word " * (i + 1)) for i in range(40)]
+    marked = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: seen.append(sorted(map(len, texts))))
+    quality.fit(make(rows), marked)
+    quality.fit(make(rows), marked, most_bytes=600)
+    quality.fit(make([]), marked)
+    every, some, none = seen
+    assert every == [5 * (i + 1) for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert some == every[: len(some)] and sum(some) <= 600 < sum(every[: len(some) + 1]) and none == []
+
+
 def test_quality_features_do_not_depend_on_the_batch():
     one = [quality.word_features([w])[0].tolist() for w in ("a", "word", "x" * 40, "ünï")]
     bucket, starts = quality.word_features(["a", "word", "x" * 40, "ünï"])

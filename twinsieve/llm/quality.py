@@ -7,9 +7,11 @@ class, and numpy gradient descent trains both.  As the output is linear in the m
 per bucket: the vectors are folded with the output layer before they are broadcast (a fixed 1 MB).
 
 Training takes at most ``per_class`` labelled rows of each class, the first by hash of doc_id, and only those
-whose crc32(doc_id as text) mod 5 isn't 0.  Scoring goes over every whole text.
+whose crc32(doc_id as text) mod 5 isn't 0; of these, the shortest whose whole texts have ``TRAIN_BYTES`` bytes in all,
+so the driver's memory is bounded in bytes too.  Scoring goes over every whole text.
 
-Edge cases: null texts count as empty ones and are scored by the feature that all texts have.  Without labels of both
+Edge cases: null texts count as empty ones and are scored by the feature that all texts have.  Very long texts are scored
+whole.  Empty tables give empty tables.  Without labels of both
 classes the score is the smoothed share of class 1 for all.  Of conflicting labels of one doc_id the lowest
 counts.  Rows that repeat are scored each; rows with a null doc_id are scored and count as not held out.
 Other columns are not looked at.
@@ -24,13 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, once, table, text_or_empty, whole_row
+from .common import ROW, cut, once, table, text_or_empty, whole_row
 
 THRESHOLD = 0.3
-PER_CLASS = 2_000
+PER_CLASS, TRAIN_BYTES = 2_000, 128 << 20
 BUCKETS = 1 << 18
 #: Buckets 0 and 1: the feature of every text, and of a word that follows itself.
 EVERY, REPEATED, OWN = 0, 1, 2
@@ -179,13 +181,16 @@ class Scorer:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """The model of at most ``per_class`` labelled rows of each class; no row held out, and no column but text, is learned from."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """The model of at most ``per_class`` labelled rows of each class and ``most_bytes`` of texts; no row held out, and no column but text, is learned from."""
     ok = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     first = lambda k: ok.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     sample = first(0).unionByName(first(1)).withColumnRenamed("doc_id", "labelled")
     texts = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(F.broadcast(sample), F.col("id") == F.col("labelled"))
-    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
+    texts = cut(texts.groupBy("id", "label").agg(F.min("text").alias("text")), "labelled")
+    total = F.sum("bytes").over(Window.orderBy("bytes", "short"))  # over at most 2 * per_class numbers
+    short = texts.select(F.col("id").alias("short"), F.octet_length("text").cast("long").alias("bytes")).withColumn("total", total)
+    texts = texts.join(F.broadcast(short.where(F.col("total") <= most_bytes).select("short")), F.col("id") == F.col("short"))
     rows = sorted(((r.id, r.label, r.text) for r in texts.collect()), key=lambda r: r[0])
     return train([r[2] for r in rows], [r[1] for r in rows])
 
