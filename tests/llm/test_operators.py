@@ -532,6 +532,36 @@ def test_mixing_curriculum(spark, make):
     assert mean["a"] < mean["c"] and out.first_due.between(0, 1).all()
 
 
+def test_mixing_digests_the_written_order(spark, make, monkeypatch):
+    draw = random.Random(9)
+    docs = make([(i, "w " * draw.randrange(0, 30), draw.choice(["a", "b", "c", "d", None])) for i in range(400)]).repartition(5)
+    out = mixing.mix(docs).collect()
+    taken = [r for r in out if r.copies]
+    assert len(out) == 400 and all((r.taken, r.first_due, r.first_position) == (0, None, None) for r in out if not r.copies) and max(r.copies for r in taken) > 1
+    words, first = 0, {}
+    for r in mixing.training_order(docs).collect():
+        first.setdefault(r.doc_id, words)
+        words += len(r.text.split())
+    assert {r.doc_id: r.first_position for r in taken} == first and words == sum(r.taken for r in taken)
+    ramps = {s: mixing.RAMPS[i % 3] for i, s in enumerate(["a", "b", "c", "d", None])}
+    goals = {r.source: r.target for r in out}
+    for r in taken:  # at each copy the words so far are what the integrated schedules ask for by then
+        t = r.first_due
+        assert abs(r.first_position - sum(goals[s] * ((1 - x) * t + x * t * t) for s, x in ramps.items())) <= 30 * len(ramps)
+    order = mixing.in_training_order
+    monkeypatch.setattr(mixing, "in_training_order", lambda copies: order(copies).where("coalesce(epoch, 0) = 0"))
+    once = mixing.mix(docs).collect()
+    assert {r.doc_id: (r.copies, r.taken) for r in once} == {r.doc_id: (min(r.copies, 1), r["size"] if r.copies else 0) for r in out}
+
+
+def test_mixing_keeps_repeated_rows_apart(spark, make):
+    docs = make([(1, "a b c", "s")] * 3 + [(1, "", "s")] * 2 + [(2, None, None)] * 2 + [(None, "x y", "s")] * 2 + [(1, "a b c", None)])
+    out = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.source, r["size"]) for r in out) == {(1, "s", 3): 3, (1, "s", 0): 2, (2, None, 0): 2, (None, "s", 2): 2, (1, None, 3): 1}
+    at = sorted((r.first_position, r["size"]) for r in out if r.copies)
+    assert len({p for p, _ in at}) == len(at) and at[0][0] == 0 and all(p + n <= q for (p, n), (q, _) in zip(at, at[1:]))
+
+
 # 9
 
 

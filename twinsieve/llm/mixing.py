@@ -4,14 +4,15 @@ Budget: the words of all documents.  Each source gets a share by weight, at most
 what lies above is shared anew by weight until no source is above (water-filling, in closed form over the sources
 sorted by words per weight).  A source's weight over training time t in [0, 1] is a line with mean 1,
 1 + r (2 t - 1).  Its integral F(t) = (1 - r) t + r t^2 is the demand so far; a document's place in its source's
-stream (epochs over a hashed order) inverted through F gives the time at which it is due, and the demand of all
-sources together at that time is its training position.
+stream (epochs over a hashed order) inverted through F gives the time at which each of its copies is due.  The copies
+range-sorted by due time are the mix; the words before a copy there, about the demand of all sources together at that
+time, are its training position.  ``training_order`` returns the mix itself, ``mix`` what it holds of each document.
 
 Prefix sums are two-level (hash buckets within a source, then rows within a bucket), so a source with most of
 the rows is spread over many tasks; only bucket totals are ordered per source.
 
 Edge cases: null text has size 0; a document of size 0 is taken 0 words; a null source is a source of its own,
-last in order; repeated rows each count.  An empty table gives an empty result.  Only doc_id, text and source
+last in order; repeated rows each count; what isn't taken has no first_due or first_position.  An empty table gives an empty result.  Only doc_id, text and source
 are read; other columns can't clash.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, table, text_or_empty, whole_row
+from .common import ROW, cut, table, text_or_empty, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Slopes of the weight schedules, dealt to the sources like the weights: early, level, late.
@@ -106,23 +107,47 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of().alias("size"), order_key().alias("h"), F.xxhash64(text).alias("tie"))
 
 
+def in_training_order(copies: DataFrame) -> DataFrame:
+    """Rows (due, h, tie and more), one a copy, range-sorted by due time; ranges hold about equal counts whatever the source."""
+    return copies.repartitionByRange("due", "h", "tie").sortWithinPartitions("due", "h", "tie")
+
+
+def numbered(order: DataFrame) -> DataFrame:
+    """``order`` (part, due, h, tie, source, size and more) with ``position``: the words of the copies before, over parts and then within a part."""
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = order.groupBy("part").agg(F.sum("size").alias("part_size")).select("part", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("parts_before"))
+    inner = Window.partitionBy("part").orderBy("due", "h", "tie", "source").rowsBetween(Window.unboundedPreceding, -1)
+    order = order.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(parts, "part")
+    return order.withColumn("position", F.col("within") + F.col("parts_before")).drop("within", "parts_before")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ramps: Sequence[float] = RAMPS, most: int = MOST, bucket_digits: int = BUCKET_DIGITS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies, first_due for every document."""
+    """doc_id, source, size, source_size, target, taken, copies, first_due, first_position for every document.
+
+    The copies that the mix takes are written in training order, and the last four columns are those of the document's copies there.
+    """
     if not 0 < most <= MOST:
         raise ValueError("most must be from 1 to 3")
     out = placed_rows(_prepared(docs), weights, ramps, most, bucket_digits).withColumn("copies", copies())
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.when(F.col("copies") > 0, due(F.lit(0))).alias("first_due"))
+    out = out.withColumn("epoch", F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))).drop("copies")
+    out = out.withColumn("due", F.when(F.col("epoch").isNotNull(), due(F.col("epoch"))))
+    order = cut(in_training_order(out).withColumn("part", F.spark_partition_id()), "mix")  # range bounds are sampled; from here on the parts are fixed
+    document = ["doc_id", "source", "size", "source_size", "target"]
+    # A row that is taken has words, so it is the only one of its source with these before it.
+    taken = numbered(order.where("epoch IS NOT NULL")).groupBy(*document, "before").agg(F.sum("size").alias("taken"), F.count("*").alias("copies"), F.min("due").alias("first_due"), F.min("position").alias("first_position"))
+    left = order.where("epoch IS NULL").select(*document, F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast("double").alias("first_due"), F.lit(None).cast("long").alias("first_position"))
+    return taken.drop("before").unionByName(left)
 
 
 def training_order(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ramps: Sequence[float] = RAMPS, most: int = MOST, bucket_digits: int = BUCKET_DIGITS) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, range-sorted by training position, columns unchanged.
 
-    Documents without words are not part of a mix.  Range partitions hold about equal counts whatever the source.
+    Documents without words are not part of a mix.
     """
     rows = docs.select(whole_row(docs), F.col("source").cast("string").alias("source"), size_of().alias("size"), order_key().alias("h"), F.xxhash64(text_or_empty()).alias("tie"))
     out = placed_rows(rows, weights, ramps, most, bucket_digits).withColumn("copies", copies()).where("copies > 0")
     out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    return out.select(ROW, due(F.col("epoch")).alias("due"), "h", "tie").repartitionByRange("due", "h", "tie").sortWithinPartitions("due", "h", "tie").select(f"{ROW}.*")
+    return in_training_order(out.select(ROW, due(F.col("epoch")).alias("due"), "h", "tie")).select(f"{ROW}.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
